@@ -1 +1 @@
-
+"""DataFrame operators: normalise, block, match, learn, feed back."""

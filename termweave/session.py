@@ -1,4 +1,4 @@
-"""Sessions: the package on the executors' path."""
+"""Sessions: the package on the executors' path, and the folder that all share."""
 
 from __future__ import annotations
 
@@ -25,3 +25,18 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only where the session names none, as in local tests, a temporary one is set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    have = spark.sparkContext.getCheckpointDir()
+    if have is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termweave-"))
+        have = spark.sparkContext.getCheckpointDir()
+    return have

@@ -1 +1 @@
-
+"""The survey lists no streaming operator; this package is empty on purpose."""

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from .wordhash import ascii_words
 #: The end of a text, as a token: no word can be it.
 END = b"\n"
 #: Words whose lattice score a task remembers, and words that a task counts before it passes them on.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+#: Words whose lattices a task computes at a time.
+LATTICE_WORDS = 10_000
 #: The mark that begins a word in the vocabulary file: a fixed value.
 MARK = "▁"
 
@@ -93,9 +96,11 @@ class Lattice:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for piece, weight in pieces.items():
-            self.automaton.add_word(piece, (len(piece), weight))
+        for number, piece in enumerate(pieces):
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.weights_of = np.fromiter(pieces.values(), np.float64, len(pieces))
         self.single = np.array(sorted(ord(p) for p in pieces if len(p) == 1), np.uint32)
         self.byte_pieces = byte_pieces
 
@@ -108,13 +113,13 @@ class Lattice:
         if not words:
             return np.empty(0)
         text = "".join(f"{MARK}{w}\n" for w in words)
-        edges = [(end, size, weight) for end, (size, weight) in self.automaton.iter(text)]
+        edges = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         unknown = np.flatnonzero(~np.isin(codes, self.single) & (codes != 10))
-        edges += [(int(i), 1, sum(self.byte_pieces[b] for b in text[i].encode())) for i in unknown]
-        end = np.fromiter((e[0] for e in edges), np.int64, len(edges))
-        size = np.fromiter((e[1] for e in edges), np.int64, len(edges))
-        weight = np.fromiter((e[2] for e in edges), np.float64, len(edges))
+        by_bytes = [sum(self.byte_pieces[b] for b in text[i].encode()) for i in unknown.tolist()]
+        end = np.concatenate([edges[:, 0], unknown])
+        size = np.concatenate([self.sizes[edges[:, 1]], np.ones(len(unknown), np.int64)])
+        weight = np.concatenate([self.weights_of[edges[:, 1]], by_bytes])
         length = np.fromiter(map(len, words), np.int64, len(words)) + 2
         first = np.cumsum(length) - length
         word = np.repeat(np.arange(len(words)), length)
@@ -174,8 +179,8 @@ def _score_rows(shared):
                 memory = {}
             memory[END] = end_score
             new = list(set().union(*texts) - memory.keys())
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
+            for at in range(0, len(new), LATTICE_WORDS):
+                some = new[at : at + LATTICE_WORDS]
                 memory.update(zip(some, lattice.scores([w.decode("utf-8", "replace") for w in some]).tolist(), strict=True))
             out = []
             for doc, counts in zip(batch.column("doc").to_pylist(), texts, strict=True):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: Bytes of text that one step of a task holds as Python objects.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 
 
 def materialised(df: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ the squared number of open bins with that gap becomes smallest (a new bin is one
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialised, with_outputs
 
 #: Parts of text whose token ids a task remembers; beyond it the memory is emptied.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 500_000
 
 
 class Encoder:
@@ -28,47 +30,68 @@ class Encoder:
 
     The tokenizer splits text at white space before it merges bytes, so the text between two
     spaces, with the space before it, gives the same ids alone as within the text. That fails only
-    where the text after a space is empty or starts with white space; such texts go whole.
+    where the text after a space is empty or starts with white space; such texts go whole. Where
+    the same vocabulary stands beside the file as ranks (.tiktoken), single parts are encoded with
+    those, which takes a third of the time; a probe makes sure that the two agree.
     """
 
+    PROBE = "It's 12 o'clock\u2014r\u00e9sum\u00e9s, na\u00efve <|endoftext|> \U0001f600 x_y!! 3.14"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.part_ids = self._by_ranks(path.removesuffix(".json") + ".tiktoken") or self._ids
+        if [list(x) for x in self.part_ids([self.PROBE])] != self._ids([self.PROBE]):
+            raise ValueError(f"the ranks beside {path} are of another vocabulary")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.odd: set[str] = set()
+
+    @staticmethod
+    def _by_ranks(path: str):
+        if not os.path.exists(path):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(model.encode_ordinary, texts))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _bytes(ids: list[list[int]]) -> list[bytes]:
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * 4
+        data = np.fromiter(chain.from_iterable(ids), np.dtype("<u4")).tobytes()
+        starts = [0, *ends[:-1].tolist()] if len(ids) else []
+        return [data[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
     def _learn(self, memory: dict[str, bytes], parts: set[str], prefix: str) -> None:
         new = list(parts - memory.keys())
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            memory.update(zip(some, self.encode([prefix + p for p in some]), strict=True))
+        memory.update(zip(new, self._bytes(self.part_ids([prefix + p for p in new])), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > CACHE_PARTS:
-            self.first, self.later = {}, {}
+            self.first, self.later, self.odd = {}, {}, set()
         split = [t.split(" ") for t in texts]
-        whole = {i for i, parts in enumerate(split) if any(map(_odd, parts[1:]))}
-        plain = [p for i, p in enumerate(split) if i not in whole]
-        self._learn(self.first, {p[0] for p in plain}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in plain)), " ")
+        after = set(chain.from_iterable(p[1:] for p in split))
+        self.odd.update(p for p in after - self.later.keys() if not p or p[0].isspace())
+        whole = [i for i, p in enumerate(split) if not self.odd.isdisjoint(p[1:])] if self.odd else []
+        self._learn(self.first, {p[0] for p in split}, "")
+        self._learn(self.later, after, " ")
         later = self.later.__getitem__
-        out = [b"" if i in whole else self.first[p[0]] + b"".join(map(later, p[1:])) for i, p in enumerate(split)]
-        for i, found in zip(sorted(whole), self.encode([texts[i] for i in sorted(whole)]), strict=True):
+        out = [self.first[p[0]] + b"".join(map(later, p[1:])) for p in split]
+        for i, found in zip(whole, self._bytes(self._ids([texts[i] for i in whole])), strict=True):
             out[i] = found
         return out
 
 
-def _odd(part: str) -> bool:
-    return not part or part[0].isspace()
-
-
 PIECES = "array<struct<piece:int,start:long,length:int,ids_crc32:long>>"
 
 

@@ -47,22 +47,21 @@ def products(lists: Column, beam: int) -> Column:
             ))
 
         everything = F.flatten(F.transform(acc, step))
-        ranked = best_first(F.filter(everything, lambda x: x["scored"]))
+        scored = F.filter(everything, lambda x: x["scored"])
         neutral = F.filter(everything, lambda x: ~x["scored"])
-        head = F.slice(ranked, 1, beam)
-        rest = F.size(ranked) - beam
-        tail = F.when(rest > 0, F.slice(ranked, F.greatest(F.lit(beam + 1), F.size(ranked) - beam + 1), beam)).otherwise(F.slice(ranked, 1, 0))
-        return F.concat(head, tail, F.slice(neutral, 1, beam))
+        # of equal scores the first paths are kept at either end
+        ends = F.array_union(F.slice(best_first(scored), 1, beam), F.slice(best_first(scored, -1), 1, beam))
+        return F.concat(ends, F.slice(neutral, 1, beam))
 
     done = F.aggregate(lists, start, extended)
     ended = F.transform(done, lambda x: F.struct(x["text"].alias("text"), F.when(x["scored"], x["score"]).otherwise(0.0).alias("score"), x["path"].alias("path")))
     return F.slice(best_first(ended), 1, beam)
 
 
-def best_first(items: Column) -> Column:
-    """Sorted by falling score, then by path."""
+def best_first(items: Column, sign: int = 1) -> Column:
+    """Sorted by falling score (rising, with sign -1), then by path."""
     return F.transform(
-        F.array_sort(F.transform(items, lambda x: F.struct(F.round(-x["score"], 9).alias("s"), x["path"].alias("p"), x.alias("x")))),
+        F.array_sort(F.transform(items, lambda x: F.struct(F.round(-sign * x["score"], 9).alias("s"), x["path"].alias("p"), x.alias("x")))),
         lambda y: y["x"],
     )
 

@@ -34,9 +34,7 @@ VALUES = byte_values(9)
 def letter_words(text: str) -> list[str]:
     """Lower-case runs of letters; none where no character is a letter."""
     words = LETTERS.findall(text.lower())
-    if len(words) < 32 and not any(map(str.isalpha, "".join(words))):
-        return []
-    return words
+    return words if any(any(map(str.isalpha, w)) for w in words) else []
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -198,7 +198,7 @@ def decontaminate(
     broadcast at once; every further block searches the same rows in the same stage.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = docs.select(F.col(id_col), *[F.col(c) for c in carry], F.col(text_col).alias("__t"))

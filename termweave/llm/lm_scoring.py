@@ -30,6 +30,8 @@ from .wordhash import ascii_words
 END = b"\n"
 #: Words whose lattice score a task remembers, and words that a task counts before it passes them on.
 CACHE_WORDS = 100_000
+#: Bytes of the longest word that goes to every task.
+FREQUENT_BYTES = 64
 #: Words whose lattices a task computes at a time.
 LATTICE_WORDS = 10_000
 #: The mark that begins a word in the vocabulary file: a fixed value.
@@ -215,7 +217,8 @@ def lm_score(
     given = docs.select(F.col(id_col).cast("long").alias("doc"), fold(id_col, modulus).alias("f"), F.col(text_col).alias("text"))
     counts = written(word_counts(given.where(F.col("f") != remainder).select("text")))
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
+    top = short.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     many = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     weights = Lattice.weights(vocabulary_path, piece_counts(counts, vocabulary_path), many.get(END, 0), smoothing)
     denominator = n + distinct + 1

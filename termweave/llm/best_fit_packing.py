@@ -193,15 +193,15 @@ def best_fit_packing(
     """(id, piece, start, length, ids_crc32[, ids], sequence_id, offset): every piece and its place.
 
     Null and empty texts are the end token alone. Rows that share an id, or repeat, are packed
-    each. Sequence ids are unique, not dense. The result depends on the rows only, not on how
-    they are partitioned: groups are dealt by hash and packed longest first.
+    each. Sequence ids are unique, not dense. Groups of about group_rows pieces are dealt by hash
+    and packed longest first, also where many rows are alike.
     """
     pieces = materialised(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids))
     names = pieces.columns
     n = pieces.where(F.col("length") < capacity).count()
     groups = max(1, -(-n // group_rows))
-    # a full piece needs no packing: its group is its own hash, beyond those of the others
-    grp = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups))
+    # the row number of the written table keeps rows that repeat, or have no id, out of one group
+    grp = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("grp", grp).repartition(tasks, "grp")
     dealt = dealt.sortWithinPartitions("grp", F.desc("length"), id_col, "piece", "ids_crc32")

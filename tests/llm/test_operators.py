@@ -190,6 +190,19 @@ def test_packing(spark, docs):
         assert at <= 64
 
 
+def test_equal_rows_without_ids_are_dealt_to_many_groups(spark):
+    rows = spark.createDataFrame([(None, "a b")] * 400, "doc_id long, text string")
+    out = best_fit_packing(rows, BPE, group_rows=20).collect()
+    groups = Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 400 and len(groups) > 10 and max(groups.values()) < 60
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    rows = [(1, "\u00b2 " * 100), (2, "\u00b2 " * 100 + "word"), (3, "12 _ 3"), (4, "a words here")]
+    out = identify_language(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in out.where("lang_pred = 'und'").collect()} == {1, 3}
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     random.seed(4)
     lengths = [random.randint(1, 20) for _ in range(120)]

@@ -6,8 +6,9 @@ in the file's own segmentation. A text is its words and one end; pieces never sp
 the lattice of a text is the chain of its words' lattices, and its probability is the product of
 theirs. In each word a forward recursion in log space sums over all segmentations.
 
-Word counts cover every training document and are never gathered whole: the ``frequent`` words
-with the largest counts go to every task, and the others meet their counts in a join.
+Word counts cover every document and are never gathered whole. A word's lattice is scored where its
+count stands, so once for the corpus and not once for each task; the ``frequent`` words with the
+largest counts go to every task with their scores, and the others meet theirs in a join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,10 @@ from .wordhash import ascii_words
 
 #: The end of a text, as a token: no word can be it.
 END = b"\n"
-#: Words whose lattice score a task remembers, and words that a task counts before it passes them on.
+#: Words that a task counts before it passes them on.
 CACHE_WORDS = 100_000
 #: Bytes of the longest word that goes to every task.
 FREQUENT_BYTES = 64
-#: Words whose lattices a task computes at a time.
-LATTICE_WORDS = 10_000
 #: The mark that begins a word in the vocabulary file: a fixed value.
 MARK = "▁"
 
@@ -45,20 +44,26 @@ def lm_tokens(text: bytes | None) -> list[bytes]:
 
 def _count_rows():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: Counter, others: set[bytes]) -> pa.RecordBatch:
+            others = others - counts.keys()
+            n = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), np.zeros(len(others), np.int64)])
+            return record(word=pa.array([*counts, *others], pa.binary()), n=pa.array(n))
+
         counts: Counter = Counter()
-        for batch in batches:
-            for text in utf8(batch.column("text")):
-                counts.update(lm_tokens(text))
-                if len(counts) > CACHE_WORDS:
-                    yield record(word=pa.array(list(counts), pa.binary()), n=pa.array(list(counts.values()), pa.int64()))
-                    counts = Counter()
-        yield record(word=pa.array(list(counts), pa.binary()), n=pa.array(list(counts.values()), pa.int64()))
+        others: set[bytes] = set()
+        for batch in steps(batches, "text"):
+            for text, trains in zip(utf8(batch.column("text")), batch.column("trains").to_pylist(), strict=True):
+                (counts if trains else others).update(lm_tokens(text))
+                if len(counts) + len(others) > CACHE_WORDS:
+                    yield rows(counts, others)
+                    counts, others = Counter(), set()
+        yield rows(counts, others)
 
     return run
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a text column: counted within tasks first."""
+    """(word, n) over (text, trains): every word and its training count, counted within tasks first."""
     return texts.mapInArrow(_count_rows(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -84,7 +89,7 @@ def piece_counts(counts: DataFrame, vocabulary_path: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield record(piece=pa.array(some.astype(np.int32)), n=pa.array(total[some]))
 
-    words = counts.where(F.col("word") != F.lit(END)).mapInArrow(run, "piece int, n double")
+    words = counts.where((F.col("word") != F.lit(END)) & (F.col("n") > 0)).mapInArrow(run, "piece int, n double")
     table = words.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(_processor(vocabulary_path).get_piece_size())
     out[table["piece"].to_numpy()] = table["n"].to_numpy()
@@ -164,40 +169,57 @@ class Lattice:
         return pieces, by_byte, math.log10((ends + smoothing) / total)
 
 
-_PARTS = "word binary, row long, doc long, n long, tokens long, known long, base double, score double"
+def lattice_scores(counts: DataFrame, shared) -> DataFrame:
+    """(word, n, score) for (word, n): every word's log10 probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, by_byte, end_score = shared.value
+        lattice = Lattice(pieces, by_byte)
+        for batch in steps(batches, "word"):
+            words = batch.column("word").to_pylist()
+            found = lattice.scores([w.decode("utf-8", "replace") for w in words])
+            found[[k for k, w in enumerate(words) if w == END]] = end_score
+            yield record(word=batch.column("word"), n=batch.column("n"), score=pa.array(found))
+
+    return counts.mapInArrow(run, "word binary, n long, score double")
+
+
+_PARTS = "word binary, row long, doc long, n long, tokens long, known long, base double, part double"
 
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, denominator, pieces, by_byte, end_score = shared.value
-        base_of = {w: math.log10((n + 1) / denominator) for w, n in frequent.items()}
-        lattice = Lattice(pieces, by_byte)
-        memory: dict[bytes, float] = {}
+        words, n, scores, denominator = shared.value
+        place = dict(zip(words, range(len(words)), strict=True))
+        # the last entry stands for all other words
+        base = np.append(np.log10((n + 1) / denominator), 0.0)
+        known, score = np.append(n > 0, False), np.append(scores, 0.0)
         row = TaskContext.get().partitionId() << 40
-        kinds = [pa.binary(), *[pa.int64()] * 5, pa.float64(), pa.float64()]
-        for batch in batches:
-            texts = [Counter(lm_tokens(t)) for t in utf8(batch.column("text"))]
-            if len(memory) > CACHE_WORDS:
-                memory = {}
-            memory[END] = end_score
-            new = list(set().union(*texts) - memory.keys())
-            for at in range(0, len(new), LATTICE_WORDS):
-                some = new[at : at + LATTICE_WORDS]
-                memory.update(zip(some, lattice.scores([w.decode("utf-8", "replace") for w in some]).tolist(), strict=True))
-            out = []
-            for doc, counts in zip(batch.column("doc").to_pylist(), texts, strict=True):
-                row += 1
-                known = [(w, n) for w, n in counts.items() if w in base_of]
-                out.append((
-                    b" %d" % row, row, doc, 0, counts.total(), sum(n for _, n in known),
-                    math.fsum(n * base_of[w] for w, n in known), math.fsum(n * memory[w] for w, n in counts.items()),
-                ))
-                out += [(w, row, doc, n, 0, 0, 0.0, 0.0) for w, n in counts.items() if w not in base_of]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=[x.split()[0] for x in _PARTS.split(", ")],
-                )
+        for batch in steps(batches, "text"):
+            texts = [lm_tokens(t) for t in utf8(batch.column("text"))]
+            if not texts:
+                continue
+            tokens = np.fromiter(map(len, texts), np.int64, len(texts))
+            flat = list(chain.from_iterable(texts))
+            at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+            first = np.cumsum(tokens) - tokens  # every text has its end, so none is empty
+            rare = np.flatnonzero(at < 0)
+            of = (np.searchsorted(first, rare, "right") - 1).tolist()
+            others = Counter(zip(of, map(flat.__getitem__, rare.tolist()), strict=True))
+            m, rows = len(others), row + np.arange(len(texts))
+            row += len(texts)
+            none, zero = pa.nulls(m, pa.int64()), pa.array(np.zeros(m))
+            owner = np.fromiter((i for i, _ in others), np.int64, m)
+            yield record(
+                word=pa.array([*(b" %d" % r for r in rows.tolist()), *(w for _, w in others)], pa.binary()),
+                row=pa.array(np.concatenate([rows, rows[owner]])),
+                doc=pa.concat_arrays([batch.column("doc"), none]),
+                n=pa.array(np.concatenate([np.zeros(len(texts), np.int64), np.fromiter(others.values(), np.int64, m)])),
+                tokens=pa.concat_arrays([pa.array(tokens), none]),
+                known=pa.concat_arrays([pa.array(np.add.reduceat(known[at].astype(np.int64), first)), none]),
+                base=pa.concat_arrays([pa.array(np.add.reduceat(base[at], first)), zero]),
+                part=pa.concat_arrays([pa.array(np.add.reduceat(score[at], first)), zero]),
+            )
 
     return run
 
@@ -215,31 +237,30 @@ def lm_score(
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc"), fold(id_col, modulus).alias("f"), F.col(text_col).alias("text"))
-    counts = written(word_counts(given.where(F.col("f") != remainder).select("text")))
-    n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    trains = F.coalesce(F.col("f") != remainder, F.lit(False)).alias("trains")
+    counts = written(word_counts(given.select("text", trains)))
+    is_end = F.col("word") == F.lit(END)
+    n, distinct, ends = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(is_end, F.col("n"))), F.lit(0))
+    ).first()
+    weights = spark.sparkContext.broadcast(Lattice.weights(vocabulary_path, piece_counts(counts, vocabulary_path), ends, smoothing))
     short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    many = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    weights = Lattice.weights(vocabulary_path, piece_counts(counts, vocabulary_path), many.get(END, 0), smoothing)
-    denominator = n + distinct + 1
-    shared = spark.sparkContext.broadcast((many, denominator, *weights))
-
-    score_rows = _score_rows(shared)
-
-    def sliced(batches):
-        yield from score_rows(steps(batches, "text"))
-
-    parts = given.select("doc", "text").mapInArrow(sliced, _PARTS)
-    joined = parts.join(counts.withColumnRenamed("n", "c"), "word", "left")
+    top = lattice_scores(short.orderBy(F.desc("n"), "word").limit(frequent), weights).toArrow()
+    denominator = float(n + distinct + 1)
+    many = top["word"].to_pylist(), top["n"].to_numpy(), top["score"].to_numpy(), denominator
+    shared = spark.sparkContext.broadcast(many)
+    parts = given.select("doc", "text").mapInArrow(_score_rows(shared), _PARTS)
+    joined = parts.join(lattice_scores(counts, weights).withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = F.col("n") * F.log10((c + 1) / F.lit(float(denominator)))
+    rare = F.col("n") * F.log10((c + 1) / F.lit(denominator))
     return (
         joined.groupBy("row")
         .agg(
             F.max("doc").alias(id_col),
             F.sum("tokens").alias("n_tokens"),
             (F.sum("known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-            (F.sum("base") + F.sum(rare)).alias("base_score"), F.sum("score").alias("score"),
+            (F.sum("base") + F.sum(rare)).alias("base_score"),
+            (F.sum("part") + F.sum(F.col("n") * F.coalesce("score", F.lit(0.0)))).alias("score"),
         )
         .select(id_col, "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
     )

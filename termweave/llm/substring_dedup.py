@@ -8,7 +8,8 @@ turned into the deep part of its suffix tree inside one task, and every internal
   windows have equal stems, so windows are grouped by their stem: the word prefix at which the
   tree is cut, rotated to the position that neighbouring windows have in common. That lets
   neighbouring suffixes travel together as one run of text, not as ``window`` words each.
-* **Variable length.** A stem of more than ``group_docs`` documents is too frequent for one task.
+* **Variable length.** A stem with more than ``group_runs`` runs of text, in however few documents,
+  is too frequent for one task.
   Its suffixes are split by the full ``window``-word prefix instead; those groups are nodes
   already, so only their smallest document is needed, which Spark aggregates map-side first.
 * **What never ships.** Stems of one document only cannot lie above a repeat. A bitmap of fixed
@@ -49,19 +50,22 @@ def _runs(stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _stem_rows(window: int, stem: int):
     def rows():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, stems = [], []
+            ids, stems, runs = [], [], []
             for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), strict=True):
                 if doc is None or not text:
                     continue
                 found = _window_stems(span_hashes(text, *word_bounds(text), FIRST), window, stem)
                 if len(found):
                     found = found[np.concatenate(([True], found[1:] != found[:-1]))]
-                    stems.append(np.unique(found))
+                    found, many = np.unique(found, return_counts=True)
+                    stems.append(found)
+                    runs.append(many)
                     ids.append(np.full(len(stems[-1]), doc, np.int64))
             empty = [np.empty(0, np.int64)]
             return record(
                 stem=pa.array(np.concatenate(stems).view(np.int64) if stems else empty[0]),
                 doc=pa.array(np.concatenate(ids or empty)),
+                runs=pa.array(np.concatenate(runs or empty)),
             )
 
         return f
@@ -202,7 +206,7 @@ def _subtree_rows(window: int):
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, stem: int = 20,
-    group_docs: int = 512, bitmap_bits: int = 1 << 26,
+    group_runs: int = 512, bitmap_bits: int = 1 << 26,
 ) -> DataFrame:
     """(doc, start, end): word spans covered by windows that also start in a smaller document.
 
@@ -211,12 +215,12 @@ def repeated_spans(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    stems = per_document(texts, "stem long, doc long", _stem_rows(window, stem), "text")
+    stems = per_document(texts, "stem long, doc long, runs long", _stem_rows(window, stem), "text")
     shared = materialised(
         stems.groupBy("stem")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("runs").alias("n"))
         .where("low < high")
-        .select("stem", (F.col("n") > group_docs).alias("frequent"))
+        .select("stem", (F.col("n") > group_runs).alias("frequent"))
     )
     n = shared.count()
     bits = min(bitmap_bits, max(1024, 1 << (16 * n).bit_length()))

@@ -57,8 +57,8 @@ def ascii_split(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("group_docs", [512, 2])
-def test_substring_dedup(spark, docs, group_docs):
+@pytest.mark.parametrize("group_runs", [512, 2])
+def test_substring_dedup(spark, docs, group_runs):
     rows = [(d, ascii_split(t)) for d, t, *_ in made_docs()]
     first = {}
     for d, w in rows:
@@ -74,7 +74,7 @@ def test_substring_dedup(spark, docs, group_docs):
                 gone[i : i + 50] = [True] * 50
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
         want.append((str(d), len(w), sum(gone), kept))
-    out = substring_dedup(docs, group_docs=group_docs)
+    out = substring_dedup(docs, group_runs=group_runs)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == sorted(want)
     assert any(x[2] for x in want)
 

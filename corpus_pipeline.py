@@ -14,7 +14,7 @@ from termweave.llm.best_fit_packing import best_fit_packing
 from termweave.llm.common import written
 from termweave.llm.decontaminate import decontaminate
 from termweave.llm.language_id import identify_language
-from termweave.llm.simhash_dedup import simhash_components
+from termweave.llm.shingle_dedup import shingle_components
 from termweave.llm.substring_dedup import substring_dedup
 from termweave.session import ship_package
 
@@ -41,11 +41,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays; rows with a null id stay."""
+    """Of every group of near copies (5-word Jaccard >= 0.8) the document with the smallest id stays; rows with a null id stay."""
     ship_package(spark)
     rows, names = _neutral(docs)
     key = F.col(names["doc_id"])
-    groups = simhash_components(rows, names["doc_id"], names["text"])
+    groups = shingle_components(rows, names["doc_id"], names["text"])
     first = groups.where("doc = component").select(F.col("doc").alias("first")).distinct()
     kept = rows.join(first, key.cast("long") == F.col("first"), "left_semi").dropDuplicates([names["doc_id"]])
     return _restored(kept.unionByName(rows.where(key.isNull())), names)

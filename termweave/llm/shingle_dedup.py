@@ -1,0 +1,139 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+Rows with equal shingle sets are one class. All sets are ordered alike, frequent shingles last (a
+sample finds those; it only sets the cost, as any common order gives the same links). Two sets of
+n and m shingles with Jaccard >= 4/5 share 4/9 (n + m) or more, so the first shingle that they
+share, at places i and j, has min(n - i, m - j) >= 4/9 (n + m): a place beyond n / 5 cannot be it.
+Only shingles up to there are joined, and whoever passes is compared by whole sets. Each class is
+compared with its smallest partner first; pairs that this has connected need no more comparison.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialised, per_document, record, utf8, written
+from .components import connected_components
+from .wordhash import ascii_words
+
+#: Rows that are sampled for frequent shingles, how often a shingle is in them, and how many are kept.
+SAMPLE_ROWS, SAMPLE_HITS, MOST_FREQUENT = 5_000, 3, 200_000
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of every ``shingle`` consecutive words; a shorter text is one shingle."""
+    words = ascii_words(text.lower()) if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
+    """(doc, cls, shingles): every row's shingle set; cls is equal where the sets are."""
+
+    def rows():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate([*sets, np.empty(0, np.int64)])
+            return record(doc=batch.column("doc"), cls=pa.array(ids), shingles=pa.ListArray.from_arrays(offsets, values))
+
+        return f
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return per_document(texts, "doc long, cls long, shingles array<long>", rows, "text")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many rows of a sample have, sorted, and in how many of its rows."""
+    share = max(1, sets.count() // SAMPLE_ROWS)
+    sample = sets.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(share)) == 0).select("cls", "shingles").dropDuplicates(["cls"])
+    counts = sample.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= SAMPLE_HITS).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+    tokens, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """(token, cls, n, pos): the first fifth of each set in the common order."""
+    tokens, counts = _frequent(sets)
+
+    def rows():
+        def first(s: np.ndarray) -> np.ndarray:
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                s = s[np.lexsort((s, np.where(tokens[at] == s, counts[at], 0)))]
+            return s[: len(s) // 5 + 1]
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = batch.column("shingles")
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            parts = [first(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sizes = np.array([*map(len, parts)], np.int64)
+            return record(
+                token=pa.array(np.concatenate([*parts, np.empty(0, np.int64)])),
+                cls=pa.array(np.repeat(batch.column("cls").to_numpy(), sizes)),
+                n=pa.array(np.repeat(np.diff(at), sizes).astype(np.int32)),
+                pos=pa.array(np.concatenate([*map(np.arange, sizes), np.empty(0, np.int64)]).astype(np.int32)),
+            )
+
+        return f
+
+    return per_document(sets.select("cls", "shingles"), "token long, cls long, n int, pos int", rows, "shingles")
+
+
+def candidate_links(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of classes that may have Jaccard >= 4/5."""
+    postings = materialised(_postings(sets).repartition("token").distinct())
+    y = postings.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"))
+    enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("j")) * 9 >= (F.col("n") + F.col("m")) * 4
+    pairs = postings.join(y, "token").where((F.col("cls") < F.col("b")) & enough)
+    return pairs.select(F.col("cls").alias("a"), "b").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose Jaccard similarity is 4/5 or more; sets has a row a class."""
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y")) * 9
+    return pairs.join(left, "a").join(right, "b").where(shared >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+
+
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc, component): one row per row of docs; component is the smallest id reachable by pairs
+    whose shingle sets have Jaccard >= 4/5.
+
+    Null and wordless texts are one class. A null id is no candidate for the smallest; a component
+    of null ids only is null.
+    """
+    sets = written(shingle_sets(docs, id_col, text_col, shingle))
+    pairs = written(candidate_links(sets))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    few = written(sets.select("cls", "shingles").join(written(ends), "cls").dropDuplicates(["cls"]))
+    tried = materialised(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = materialised(similar(tried, few))
+    joined = connected_components(links)
+    root_a = joined.select(F.col("node").alias("a"), F.col("component").alias("ra"))
+    root_b = joined.select(F.col("node").alias("b"), F.col("component").alias("rb"))
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    rest = pairs.join(tried, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(apart)
+    edges = links.union(similar(rest.select("a", "b"), few))
+    found = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    classes = materialised(sets.groupBy("cls").agg(F.min("doc").alias("low")))
+    rooted = materialised(classes.join(found, "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    labels = materialised(rooted.join(lows, "root").select("cls", "component"))
+    return sets.select("doc", "cls").join(labels, "cls").select("doc", "component")

@@ -351,3 +351,41 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs.withColumn("score", F.lit(1)), "/root/testdata/sf0.001")
         assert kept.columns == [*docs.columns, "score"]
+
+
+def test_near_dedup_stage(spark):
+    """Planted copies at 5-word Jaccard 0.80 to 0.95 go, those just below 0.80 stay, as by brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+
+    def grams(text):
+        w = text.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows, line = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (None, "one two")], " ".join(f"l{i}" for i in range(30))
+    for i in range(60):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([40, 120, 400, 900]))]
+        rows.append((len(rows), " ".join(words) + (f" {line}" if i % 2 else "")))
+        if i % 10 == 0:
+            words = words[:40]
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.randint(0, 5) // 200)):
+            copy[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(copy) + (f" {line}" if i % 2 else "")))
+    sets = [grams(t or "") for _, t in rows]
+    near, group = {}, list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            near[j, i] = len(x & y) / len(x | y) if x | y else 1.0
+            if near[j, i] >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    bands = Counter(int(v * 20) for v in near.values())
+    assert all(bands[b] for b in (15, 16, 17, 18)), bands
+    lows = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            lows[group[i]] = min(k, lows.get(group[i], k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([*lows.values(), None], key=str)

@@ -10,6 +10,8 @@ compared with its smallest partner first; pairs that this has connected need no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,27 +41,32 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
-    """(doc, cls, shingles): every row's shingle set; cls is equal where the sets are."""
+def _class(shingles: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([*parts, np.empty(0, np.int64)]))
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cls, shingles): the shingle set of every row of texts (text); cls is equal where the sets are."""
 
     def rows():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate([*sets, np.empty(0, np.int64)])
-            return record(doc=batch.column("doc"), cls=pa.array(ids), shingles=pa.ListArray.from_arrays(offsets, values))
+            return record(cls=pa.array([*map(_class, sets)], pa.int64()), shingles=_lists(sets))
 
         return f
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return per_document(texts, "doc long, cls long, shingles array<long>", rows, "text")
+    return per_document(texts.select("text"), "cls long, shingles array<long>", rows, "text")
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many rows of a sample have, sorted, and in how many of its rows."""
-    share = max(1, sets.count() // SAMPLE_ROWS)
-    sample = sets.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(share)) == 0).select("cls", "shingles").dropDuplicates(["cls"])
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different texts of a sample have, sorted, and in how many they are."""
+    share = max(1, texts.count() // SAMPLE_ROWS)
+    sample = shingle_sets(texts.where(F.pmod("hash", F.lit(share)) == 0).dropDuplicates(["hash"]), shingle)
     counts = sample.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     found = counts.where(F.col("n") >= SAMPLE_HITS).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
     tokens, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
@@ -67,9 +74,9 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(token, cls, n, pos): the first fifth of each set in the common order."""
-    tokens, counts = _frequent(sets)
+def _first_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc, hash, cls, n, first): the size of each row's set and its first fifth in the common order."""
+    tokens, counts = _frequent(texts, shingle)
 
     def rows():
         def first(s: np.ndarray) -> np.ndarray:
@@ -79,29 +86,67 @@ def _postings(sets: DataFrame) -> DataFrame:
             return s[: len(s) // 5 + 1]
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = batch.column("shingles")
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            parts = [first(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            sizes = np.array([*map(len, parts)], np.int64)
+            sets = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
             return record(
-                token=pa.array(np.concatenate([*parts, np.empty(0, np.int64)])),
-                cls=pa.array(np.repeat(batch.column("cls").to_numpy(), sizes)),
-                n=pa.array(np.repeat(np.diff(at), sizes).astype(np.int32)),
-                pos=pa.array(np.concatenate([*map(np.arange, sizes), np.empty(0, np.int64)]).astype(np.int32)),
+                doc=batch.column("doc"), hash=batch.column("hash"), cls=pa.array([*map(_class, sets)], pa.int64()),
+                n=pa.array([*map(len, sets)], pa.int32()), first=_lists([first(s) for s in sets]),
             )
 
         return f
 
-    return per_document(sets.select("cls", "shingles"), "token long, cls long, n int, pos int", rows, "shingles")
-
-
-def candidate_links(sets: DataFrame) -> DataFrame:
+    return per_document(texts, "doc long, hash long, cls long, n int, first array<long>", rows, "text")
+
+
+def pairs_in_buckets(token: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Pairs of classes (a < b) whose shared token may be the first of Jaccard >= 4/5."""
+    order = np.lexsort((n, token))
+    token, cls, n, pos = token[order], cls[order], n[order], pos[order]
+    found = [np.empty((0, 2), np.int64)]
+    live, shift = np.arange(len(token)), 0
+    while len(live):
+        shift += 1
+        live = live[live + shift < len(token)]
+        other = live + shift
+        live = live[(token[live] == token[other]) & (5 * n[live] >= 4 * n[other])]  # sizes ascend
+        x, y = live, live + shift
+        enough = 9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * (n[x] + n[y])
+        x, y = cls[x[enough]], cls[y[enough]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+#: Rows that one step of a bucket task compares.
+STEP_ROWS = 100_000
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), from rows sorted by token."""
+
+    def paired(columns: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = pairs_in_buckets(*columns)
+        return record(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls", "n", "pos")])
+        size += batch.num_rows
+        if size >= STEP_ROWS:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.argmax(whole[0] == whole[0][-1]))
+            if cut:
+                yield paired([c[:cut] for c in whole])
+            held, size = [[c[cut:] for c in whole]], size - cut
+    if held:
+        yield paired([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def candidate_links(firsts: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of classes that may have Jaccard >= 4/5."""
-    postings = materialised(_postings(sets).repartition("token").distinct())
-    y = postings.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"))
-    enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("j")) * 9 >= (F.col("n") + F.col("m")) * 4
-    pairs = postings.join(y, "token").where((F.col("cls") < F.col("b")) & enough)
-    return pairs.select(F.col("cls").alias("a"), "b").distinct()
+    classes = firsts.select("cls", "n", "first").dropDuplicates(["cls"])
+    rows = classes.select("cls", "n", F.posexplode("first").alias("pos", "token")).select("token", "cls", "n", "pos")
+    tasks = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(_pair_rows, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,10 +164,13 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and wordless texts are one class. A null id is no candidate for the smallest; a component
     of null ids only is null.
     """
-    sets = written(shingle_sets(docs, id_col, text_col, shingle))
-    pairs = written(candidate_links(sets))
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    few = written(sets.select("cls", "shingles").join(written(ends), "cls").dropDuplicates(["cls"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    firsts = written(_first_shingles(texts, shingle))
+    pairs = written(candidate_links(firsts))
+    ends = written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
+    # whole sets are made again, of one text a class
+    hashes = written(firsts.join(ends, "cls").groupBy("cls").agg(F.min("hash").alias("hash")).select("hash").distinct())
+    few = written(shingle_sets(texts.join(hashes, "hash", "left_semi"), shingle).dropDuplicates(["cls"]))
     tried = materialised(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = materialised(similar(tried, few))
     joined = connected_components(links)
@@ -132,8 +180,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = pairs.join(tried, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(apart)
     edges = links.union(similar(rest.select("a", "b"), few))
     found = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    classes = materialised(sets.groupBy("cls").agg(F.min("doc").alias("low")))
+    classes = materialised(firsts.groupBy("cls").agg(F.min("doc").alias("low")))
     rooted = materialised(classes.join(found, "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root")))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
     labels = materialised(rooted.join(lows, "root").select("cls", "component"))
-    return sets.select("doc", "cls").join(labels, "cls").select("doc", "component")
+    return firsts.select("doc", "cls").join(labels, "cls").select("doc", "component")

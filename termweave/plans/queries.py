@@ -216,7 +216,7 @@ def block_candidates(t: Tables) -> DataFrame:
 def block_documents(t: Tables) -> DataFrame:
     """Blocking of the names from documents, whose one derived string is their own term."""
     names = t.large.select(F.col("doc_id").alias("name_id"), "name", F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score"))).alias("derived"))
-    return block.block_candidates(names, catalog.scan_terms(t.large, "term", F.col("doc_id")), cap=30)
+    return block.block_candidates(names, catalog.scan_terms(t.large, "term", F.col("doc_id")))
 
 
 @query

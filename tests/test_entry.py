@@ -41,3 +41,9 @@ def test_nothing_else_imports_llm():
         for node in ast.walk(ast.parse(source.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any("llm" in n.split(".") for n in names), source
+
+
+def test_block_documents_keeps_frequent_tokens(spark, tmp_path):
+    rows = [(i, f"shared a{chr(97 + i // 26)}{chr(97 + i % 26)} of it", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert entry.queries()["block_documents"](spark, str(tmp_path)).count() == 40 * 40

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +22,31 @@ from pyspark.sql import functions as F
 
 from .common import materialised, with_outputs
 
-#: Parts of text whose token ids a task remembers; beyond it the memory is emptied.
-CACHE_PARTS = 500_000
+#: White space in a row, from which on a text goes through the tokenizer itself.
+WHITE_RUN = 100_000
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, with a memory of frequent parts.
+    """Token ids of whole texts as little-endian 32-bit bytes, as the tokenizer file gives them.
 
-    The tokenizer splits text at white space before it merges bytes, so the text between two
-    spaces, with the space before it, gives the same ids alone as within the text. That fails only
-    where the text after a space is empty or starts with white space; such texts go whole. Where
-    the same vocabulary stands beside the file as ranks (.tiktoken), single parts are encoded with
-    those, which takes a third of the time; a probe makes sure that the two agree.
+    Where the same vocabulary stands beside the file as ranks (.tiktoken), texts are encoded with
+    those, which takes a quarter of the time; a probe makes sure that the two agree. Texts that
+    hold a special token's string, or white space in runs that the ranks' splitter may refuse, go
+    through the tokenizer itself.
     """
 
-    PROBE = "It's 12 o'clock\u2014r\u00e9sum\u00e9s, na\u00efve <|endoftext|> \U0001f600 x_y!! 3.14"
+    PROBE = "It's 12 o'clock\u2014r\u00e9sum\u00e9s, na\u00efve  \U0001f600 x_y!! 3.14"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.part_ids = self._by_ranks(path.removesuffix(".json") + ".tiktoken") or self._ids
-        if [list(x) for x in self.part_ids([self.PROBE])] != self._ids([self.PROBE]):
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.white = re.compile(rf"\s{{{WHITE_RUN}}}")
+        self.fast = self._by_ranks(path.removesuffix(".json") + ".tiktoken") or self._ids
+        if [list(x) for x in self.fast([self.PROBE])] != self._ids([self.PROBE]):
             raise ValueError(f"the ranks beside {path} are of another vocabulary")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.odd: set[str] = set()
 
     @staticmethod
     def _by_ranks(path: str):
@@ -65,33 +63,26 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _bytes(ids: list[list[int]]) -> list[bytes]:
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * 4
-        data = np.fromiter(chain.from_iterable(ids), np.dtype("<u4")).tobytes()
-        starts = [0, *ends[:-1].tolist()] if len(ids) else []
-        return [data[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
-
-    def _learn(self, memory: dict[str, bytes], parts: set[str], prefix: str) -> None:
-        new = list(parts - memory.keys())
-        memory.update(zip(new, self._bytes(self.part_ids([prefix + p for p in new])), strict=True))
+    def _apart(self, text: str) -> bool:
+        return any(s in text for s in self.special) or (len(text) >= WHITE_RUN and self.white.search(text) is not None)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE_PARTS:
-            self.first, self.later, self.odd = {}, {}, set()
-        split = [t.split(" ") for t in texts]
-        after = set(chain.from_iterable(p[1:] for p in split))
-        self.odd.update(p for p in after - self.later.keys() if not p or p[0].isspace())
-        whole = [i for i, p in enumerate(split) if not self.odd.isdisjoint(p[1:])] if self.odd else []
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, after, " ")
-        later = self.later.__getitem__
-        out = [self.first[p[0]] + b"".join(map(later, p[1:])) for p in split]
-        for i, found in zip(whole, self._bytes(self._ids([texts[i] for i in whole])), strict=True):
-            out[i] = found
+        whole = [i for i, t in enumerate(texts) if self._apart(t)]
+        skip = set(whole)
+        out: list = [None] * len(texts)
+        plain = [i for i in range(len(texts)) if i not in skip]
+        for some, encode in ((plain, self.fast), (whole, self._ids)):
+            for i, found in zip(some, encode([texts[i] for i in some]), strict=True):
+                out[i] = np.array(found, "<u4").tobytes()
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a file, loaded once in a Python worker; later tasks of that worker find it."""
+    return Encoder(path)
+
+
 PIECES = "array<struct<piece:int,start:long,length:int,ids_crc32:long>>"
 
 
@@ -105,7 +96,7 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
 
         def f(texts):
             out = []

@@ -14,7 +14,7 @@ from termweave.llm.best_fit_packing import best_fit_packing
 from termweave.llm.common import written
 from termweave.llm.decontaminate import decontaminate
 from termweave.llm.language_id import identify_language
-from termweave.llm.shingle_dedup import shingle_components
+from termweave.llm.simhash_dedup import simhash_components
 from termweave.llm.substring_dedup import substring_dedup
 from termweave.session import ship_package
 
@@ -41,14 +41,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (5-word Jaccard >= 0.8) the document with the smallest id stays; rows with a null id stay."""
+    """Of every group of near copies (5-word Jaccard >= 0.8) the row with the smallest id stays (of
+    several with that id, one); rows with a null id stay. Rows of one id whose texts are in
+    different groups are judged each."""
     ship_package(spark)
     rows, names = _neutral(docs)
-    key = F.col(names["doc_id"])
-    groups = shingle_components(rows, names["doc_id"], names["text"])
-    first = groups.where("doc = component").select(F.col("doc").alias("first")).distinct()
-    kept = rows.join(first, key.cast("long") == F.col("first"), "left_semi").dropDuplicates([names["doc_id"]])
-    return _restored(kept.unionByName(rows.where(key.isNull())), names)
+    rows = rows.withColumn("__doc", F.col(names["doc_id"]).cast("long")).withColumn("__hash", F.xxhash64(names["text"]))
+    found = written(simhash_components(rows, names["doc_id"], names["text"], shingle=5, similarity=0.8).where("doc is not null"))
+    first = found.groupBy("grp").agg(F.min(F.struct("doc", "hash")).alias("first"))
+    same = F.struct("doc", "hash") == F.col("first")
+    texts = found.join(first, "grp").groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), same.alias("first")).count()
+    # what goes, and what repeats, is less than what stays
+    texts = written(texts.where("not first or count > 1"))
+    left = rows.join(texts.where("not first"), ["__doc", "__hash"], "left_anti")
+    again = texts.where("first").select("__doc", "__hash")
+    once = left.join(again, ["__doc", "__hash"], "left_anti")
+    repeated = left.join(again, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"])
+    return _restored(once.unionByName(repeated), names)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, with_outputs
+from .common import materialised, runs, with_outputs
 
 #: White space in a row, from which on a text goes through the tokenizer itself.
 WHITE_RUN = 100_000
@@ -155,25 +155,11 @@ def _pack_rows(capacity: int, names: list[str]):
     """Rows of whole groups, sorted by group: each group is packed when it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            group = table["grp"][0].as_py()
+        for table in runs(batches, "grp"):
             bins, offsets = sum_of_squares(table["length"].to_pylist(), capacity)
-            out = table.select(names).append_column("sequence_id", pa.array((group << 32) + bins))
+            out = table.select(names).append_column("sequence_id", pa.array((table["grp"][0].as_py() << 32) + bins))
             yield from out.append_column("offset", pa.array(offsets)).to_batches()
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = np.concatenate(([0], np.flatnonzero(np.diff(batch.column("grp").to_numpy())) + 1, [batch.num_rows]))
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if b > a:
-                    part = batch.slice(a, b - a)
-                    if held and held[-1].column("grp")[0].as_py() != part.column("grp")[0].as_py():
-                        yield from packed(pa.Table.from_batches(held))
-                        held = []
-                    held.append(part)
-        if held:
-            yield from packed(pa.Table.from_batches(held))
-
     return run
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,3 +93,20 @@ def with_outputs(docs: DataFrame, keep: list[Column], text: Column, outputs: dic
 
     kinds = [f"`{k.name}` {k.dataType.simpleString()}" for k in kept] + [f"`{n}` {t}" for n, t in outputs.items()]
     return per_document(rows, ", ".join(kinds), build, "__text")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole runs of rows with an equal key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True):
+            if b > a:
+                part = batch.slice(a, b - a)
+                if held and held[-1].column(key)[0] != part.column(key)[0]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -48,11 +48,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, names = _neutral(docs)
     rows = rows.withColumn("__doc", F.col(names["doc_id"]).cast("long")).withColumn("__hash", F.xxhash64(names["text"]))
     found = written(simhash_components(rows, names["doc_id"], names["text"], shingle=5, similarity=0.8).where("doc is not null"))
-    first = found.groupBy("grp").agg(F.min(F.struct("doc", "hash")).alias("first"))
-    same = F.struct("doc", "hash") == F.col("first")
-    texts = found.join(first, "grp").groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), same.alias("first")).count()
+    head = found.where("doc = component")
+    several = head.groupBy("grp").agg(F.min("hash").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    heads = head.join(several, "grp").select("doc", "hash", (F.col("hash") == F.col("least")).alias("first"))
+    texts = found.where("doc <> component").select("doc", "hash", F.lit(False).alias("first")).unionByName(heads).distinct()
+    texts = written(texts.withColumnsRenamed({"doc": "__doc", "hash": "__hash"}))
     # what goes, and what repeats, is less than what stays
-    texts = written(texts.where("not first or count > 1"))
     left = rows.join(texts.where("not first"), ["__doc", "__hash"], "left_anti")
     again = texts.where("first").select("__doc", "__hash")
     once = left.join(again, ["__doc", "__hash"], "left_anti")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_document, record, runs, steps, utf8, written
+from .components import connected_components
 from .wordhash import byte_values, gram_hashes, span_hashes, word_bounds
 
 VALUES = byte_values(21)
@@ -214,32 +215,47 @@ def set_links(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]
 
 
 def _family_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) within every cell, from rows sorted by cell."""
+    """Links (a, b, whole) within every cell, from rows sorted by cell."""
     for table in runs(batches, "cell"):
         cls = table["cls"].to_numpy()
         sets = [np.asarray(s.values) for s in table["shingles"]]
         pairs = np.array(set_links(sets, table["side"].to_numpy()), np.int64).reshape(-1, 2)
-        yield record(a=pa.array(cls[pairs[:, 0]]), b=pa.array(cls[pairs[:, 1]]))
-
-
-def similar_links(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that connect all classes of a family (node, component) with Jaccard >= 4/5.
+        a, b = cls[pairs[:, 0]], cls[pairs[:, 1]]
+        whole = table["whole"][0].as_py()
+        if whole:  # all of the family is here, so its links can point to the smallest class of their component
+            low = {int(c): int(c) for c in np.unique(np.concatenate([a, b]))}
+            for _ in range(len(low)):
+                before = dict(low)
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    low[x] = low[y] = min(low[x], low[y])
+                if low == before:
+                    break
+            a, b = (np.array(c, np.int64) for c in ([*low], [*low.values()]))
+        yield record(a=pa.array(a), b=pa.array(b), whole=pa.array([whole] * len(a), pa.bool_()))
+
+
+def similar_components(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component): the smallest class reachable by pairs with Jaccard >= 4/5, for the classes
+    of families (node, component) that have such a pair.
 
     A family is compared in one task, each set sent once; one over SIDE_ROWS sets or SIDE_SHINGLES
     shingles is cut into sides, and every pair of sides is a task of its own.
     """
     members = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(sets.select("cls", "n"), "cls")
     cut = F.greatest(F.ceil(F.count("*") / SIDE_ROWS), F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("int")
-    cuts = members.groupBy("family").agg(cut.alias("cut"), F.count("*").alias("rows")).where("rows > 1")
+    cuts = members.groupBy("family").agg(cut.alias("cut"))
     own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("cut")).cast("int")
     dealt = (
         members.join(cuts, "family").select("cls", "family", "cut", own.alias("own"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
         .select(
             "cls", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("cut") == 1).alias("whole"),
         )
     )
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = dealt.join(sets.select("cls", "shingles"), "cls").repartition(tasks, "cell").sortWithinPartitions("cell")
-    return filled.mapInArrow(_family_rows, "a long, b long")
+    links = written(filled.mapInArrow(_family_rows, "a long, b long, whole boolean"))
+    done = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    apart = links.where("not whole")
+    return done if apart.isEmpty() else done.unionByName(connected_components(apart.select("a", "b")))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialised, per_document, record, utf8, written
 from .components import connected_components
-from .shingle_sets import candidate_sets, set_class, shingle_set, similar_links
+from .shingle_sets import candidate_sets, set_class, shingle_set, similar_components
 from .wordhash import ascii_words, mixed
 
 #: Reference fingerprints: a fixed pseudo-random set.
@@ -252,12 +252,12 @@ def simhash_components(
     rows = written(fingerprints(texts, shingle, similarity is not None))
     classes = materialised(rows.groupBy("cls").agg(F.min("doc").alias("low"), F.first("fp").alias("fp")))
     if similarity is None:
-        edges = near_links(keyed_parts(classes.select(F.col("cls").alias("rep"), "fp"), distance, parts), distance, False, bucket_rows)
+        keyed = keyed_parts(classes.select(F.col("cls").alias("rep"), "fp"), distance, parts)
+        found = connected_components(near_links(keyed, distance, False, bucket_rows))
     else:
         sets, keyed = candidate_sets(texts, rows, shingle)
-        families = connected_components(near_links(keyed, FAR, True, bucket_rows))
-        edges = similar_links(families, sets)
-    joined = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+        found = similar_components(connected_components(near_links(keyed, FAR, True, bucket_rows)), sets)
+    joined = found.select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     rooted = materialised(classes.join(joined, "cls", "left").select("cls", "low", F.coalesce("grp", "cls").alias("grp")))
     lows = materialised(rooted.groupBy("grp").agg(F.min("low").alias("component")))
     labels = materialised(rooted.join(lows, "grp").select("cls", "grp", "component"))

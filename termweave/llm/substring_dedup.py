@@ -1,20 +1,26 @@
 """Substring dedup: repeated word windows found in suffix trees that are partitioned by prefix.
 
-Suffixes that can hold a repeat are split into groups by a prefix of theirs, each group is
-turned into the deep part of its suffix tree inside one task, and every internal node that is
-``window`` words deep or deeper is a repeat: the suffixes below it begin with the same window.
-
-* **Prefix.** The smallest ``stem``-word hash within a window is the stem of that window. Equal
-  windows have equal stems, so windows are grouped by their stem: the word prefix at which the
-  tree is cut, rotated to the position that neighbouring windows have in common. That lets
-  neighbouring suffixes travel together as one run of text, not as ``window`` words each.
-* **Variable length.** A stem with more than ``group_runs`` runs of text, in however few documents,
-  is too frequent for one task.
-  Its suffixes are split by the full ``window``-word prefix instead; those groups are nodes
-  already, so only their smallest document is needed, which Spark aggregates map-side first.
-* **What never ships.** Stems of one document only cannot lie above a repeat. A bitmap of fixed
-  size (``bitmap_bits`` at most) tells tasks which stems several documents share; where it errs,
-  a group of one document is built in vain, and nothing else changes.
+Suffixes that can hold a repeat are split into groups by a prefix, each group is turned into the
+upper ``window`` words of its suffix tree inside one task, and every internal node at that depth is
+a repeat: the suffixes below it begin with the same window. Neighbouring windows below such nodes
+join to the span of a maximal repeat.
+
+* **Prefix.** Grouping every suffix by its own first words would send ``window`` words for each.
+  So suffixes go by their anchor: of the suffixes that start within a window (and have ``stem``
+  words in it) the one whose first ``stem`` words hash smallest. Equal windows have anchors with
+  equal prefixes, and neighbouring windows mostly have one anchor in common, so that they travel
+  together as one run of text under the ``stem``-word prefix of their anchor.
+* **Tree.** A group's suffixes are sorted by their words (see suffix_order); between neighbours in
+  that order that share fewer words than ``window`` one deep node ends and the next begins.
+* **Variable length.** A prefix with more than ``group_words`` words of text, in however few
+  documents, is too frequent for one task. Its suffixes are split by the first ``window`` words of
+  each instead. Such a group is one internal node of the tree, however large, so only its smallest
+  document is needed, which Spark aggregates map-side first. No length between would do: a window
+  that ends before a longer prefix of its anchor does is not below it.
+* **What never ships.** Prefixes of one document only cannot lie above a repeat. A bitmap of fixed
+  size (``bitmap_bits`` at most) tells tasks which ones several documents share; where it errs,
+  a group of one document is built in vain, and nothing else changes. Past a sixteenth as many
+  shared prefixes as bits (4 million) it lets more and more through, in the end all text once.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from .wordhash import ascii_words, byte_values, gram_hashes, sliding_min, span_h
 #: Two independent word hashes; a frequent window is named by both, 128 bits in all.
 FIRST, SECOND = byte_values(1), byte_values(2)
 
-#: Runs of text that one task turns into a suffix tree at a time.
+#: Words that one task turns into suffix trees at a time.
 TREE_WORDS = 600_000
+#: Bytes of frequent repeats that may go to every task; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def _window_stems(hashes: np.ndarray, window: int, stem: int) -> np.ndarray:
@@ -50,22 +58,22 @@ def _runs(stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _stem_rows(window: int, stem: int):
     def rows():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, stems, runs = [], [], []
+            ids, stems, words = [], [], []
             for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), strict=True):
                 if doc is None or not text:
                     continue
                 found = _window_stems(span_hashes(text, *word_bounds(text), FIRST), window, stem)
                 if len(found):
-                    found = found[np.concatenate(([True], found[1:] != found[:-1]))]
-                    found, many = np.unique(found, return_counts=True)
-                    stems.append(found)
-                    runs.append(many)
+                    begin, end = _runs(found)
+                    some, which = np.unique(found[begin], return_inverse=True)
+                    stems.append(some)
+                    words.append(np.bincount(which, end - begin + window - 1).astype(np.int64))
                     ids.append(np.full(len(stems[-1]), doc, np.int64))
             empty = [np.empty(0, np.int64)]
             return record(
                 stem=pa.array(np.concatenate(stems).view(np.int64) if stems else empty[0]),
                 doc=pa.array(np.concatenate(ids or empty)),
-                runs=pa.array(np.concatenate(runs or empty)),
+                words=pa.array(np.concatenate(words or empty)),
             )
 
         return f
@@ -143,23 +151,42 @@ def _suffix_rows(window: int, stem: int, shared, frequent):
     return rows
 
 
-def _deep_nodes(hashes: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """The smallest document below the deep node of every suffix.
+def suffix_order(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their first ``depth`` words, and how many of these each shares with
+    the one before it in that order (0 for the first). Every suffix has so many words.
 
-    Suffixes are sorted by their first ``window`` words; neighbours whose longest common prefix
-    is that long hang below one internal node (a leaf is a node of its own).
+    Ranks of 1, 2, 4 ... words come each from two of half the length, and ``depth`` words are the
+    sum of such lengths. Words are told apart and ordered by their hashes.
     """
-    order = np.argsort(gram_hashes(hashes, window)[starts], kind="stable")
-    at = starts[order]
-    same = np.ones(len(at) - 1, bool)
-    for depth in range(window):
-        live = np.flatnonzero(same)
-        if not len(live):
-            break
-        same[live] = hashes[at[live] + depth] == hashes[at[live + 1] + depth]
-    node = np.concatenate(([0], np.cumsum(~same)))
-    first = np.concatenate(([0], np.flatnonzero(~same) + 1))
-    smallest = np.minimum.reduceat(docs[order], first)[node]
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    ranks, width = [rank], 1
+    while 2 * width <= depth:
+        ahead = np.zeros_like(rank)
+        ahead[: max(0, len(rank) - width)] = rank[width:]
+        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        ranks.append(rank)
+        width *= 2
+    keys, at = [], starts
+    for level in reversed(range(len(ranks))):
+        if depth >> level & 1:
+            keys.append(ranks[level][at])
+            at = at + (1 << level)
+    order = np.lexsort(keys[::-1])
+    x, y = starts[order[:-1]], starts[order[1:]]
+    shared = np.zeros(len(starts), np.int64)
+    for level in reversed(range(len(ranks))):
+        step = 1 << level
+        live = np.flatnonzero(shared[1:] + step <= depth)
+        done = shared[1:][live]
+        shared[1:][live] += step * (ranks[level][x[live] + done] == ranks[level][y[live] + done])
+    return order, shared
+
+
+def _deep_nodes(words: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """The smallest document below the deep node of every suffix (a leaf is a node of its own)."""
+    order, shared = suffix_order(words, starts, window)
+    begins = shared < window
+    smallest = np.minimum.reduceat(docs[order], np.flatnonzero(begins))[np.cumsum(begins) - 1]
     out = np.empty_like(docs)
     out[order] = smallest
     return out
@@ -206,21 +233,21 @@ def _subtree_rows(window: int):
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, stem: int = 20,
-    group_runs: int = 512, bitmap_bits: int = 1 << 26,
+    group_words: int = 40_000, bitmap_bits: int = 1 << 26,
 ) -> DataFrame:
     """(doc, start, end): word spans covered by windows that also start in a smaller document.
 
-    Null ids and null or short texts give no span; rows that share an id are one document, so a
+    Ids are integers. Null ids and null or short texts give no span; rows that share an id are one document, so a
     repeat between them, or within a document, gives none.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    stems = per_document(texts, "stem long, doc long, runs long", _stem_rows(window, stem), "text")
+    stems = per_document(texts, "stem long, doc long, words long", _stem_rows(window, stem), "text")
     shared = materialised(
         stems.groupBy("stem")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("runs").alias("n"))
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("words").alias("n"))
         .where("low < high")
-        .select("stem", (F.col("n") > group_runs).alias("frequent"))
+        .select("stem", (F.col("n") > group_words).alias("frequent"))
     )
     n = shared.count()
     bits = min(bitmap_bits, max(1024, 1 << (16 * n).bit_length()))
@@ -239,6 +266,8 @@ def repeated_spans(
     nodes = materialised(
         deep.groupBy("deep1", "deep2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     )
+    if nodes.count() * 32 <= BROADCAST_BYTES:
+        nodes = F.broadcast(nodes)
     deep_spans = (
         deep.join(nodes, ["deep1", "deep2"])
         .where("low < doc")

@@ -18,7 +18,7 @@ from termweave.llm.language_id import forward_backward, identify_language
 from termweave.llm.lm_scoring import Lattice, lm_score
 from termweave.llm.quality import quality_score
 from termweave.llm.simhash_dedup import simhash_components
-from termweave.llm.substring_dedup import substring_dedup
+from termweave.llm.substring_dedup import substring_dedup, suffix_order
 from termweave.llm.topk_search import top_k_search
 from termweave.llm.url_filter import url_filter
 from termweave.llm.warc import payload_digest, read_members, read_warc, write_warc
@@ -57,8 +57,8 @@ def ascii_split(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("group_runs", [512, 2])
-def test_substring_dedup(spark, docs, group_runs):
+@pytest.mark.parametrize("group_words", [40_000, 150])
+def test_substring_dedup(spark, docs, group_words):
     rows = [(d, ascii_split(t)) for d, t, *_ in made_docs()]
     first = {}
     for d, w in rows:
@@ -74,11 +74,23 @@ def test_substring_dedup(spark, docs, group_runs):
                 gone[i : i + 50] = [True] * 50
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
         want.append((str(d), len(w), sum(gone), kept))
-    out = substring_dedup(docs, group_runs=group_runs)
+    out = substring_dedup(docs, group_words=group_words)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == sorted(want)
     assert any(x[2] for x in want)
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    words = rng.integers(1, 4, 500).astype(np.uint64)
+    starts = rng.permutation(450)
+    for depth in (1, 7, 50):
+        order, shared = suffix_order(words, starts, depth)
+        lists = [words[s : s + depth].tolist() for s in starts[order]]
+        assert lists == sorted(lists)
+        for a, b, n in zip(lists, lists[1:], shared[1:].tolist(), strict=False):
+            assert a[:n] == b[:n] and (n == depth or a[n] != b[n])
+
+
 def test_simhash(spark, docs):
     def fingerprint(text):
         w = (text or "").encode().lower().split()

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import materialised, per_document, record, utf8
+from .common import materialised, record, utf8
 
 #: Bytes read and decompressed at a time.
 CHUNK = 1 << 16
@@ -105,6 +105,7 @@ def _write_rows(folder: str, archive_bytes: int):
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("id", "url", "first", "digest"))
             for page, url, first, digest, html in zip(*cols, utf8(batch.column("html")), strict=True):
+                stated = base64.b32encode(bytes.fromhex(digest)).decode()
                 if out is None:
                     name, size, records = f"{stem}-{number:04d}.warc.gz", 0, 0
                     out, number = store.open_output_stream(name, compression=None), number + 1
@@ -114,7 +115,7 @@ def _write_rows(folder: str, archive_bytes: int):
                     "WARC-Date": WHEN,
                     "WARC-Target-URI": url or "",
                     "X-Page-ID": "" if page is None else str(page),
-                    "WARC-Payload-Digest": f"sha1:{digest}",
+                    "WARC-Payload-Digest": f"sha1:{stated}",
                     "X-Payload-Length": str(len(html or b"")),
                 }
                 if first is not None:
@@ -131,22 +132,19 @@ def _write_rows(folder: str, archive_bytes: int):
     return run
 
 
-def payload_firsts(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(id, digest, first): for every row with an id the smallest id of an equal payload; first is
-    null where the row is that one, or the payload is shorter than least_bytes."""
+def payload_bytes(payload_col: str) -> Column:
+    """The payload in UTF-8; empty for null."""
+    return F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
 
-    def rows():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or b"" for t in utf8(batch.column("html"))]
-            return record(
-                id=batch.column("id"), digest=pa.array(map(payload_digest, texts), pa.string()),
-                n=pa.array(map(len, texts), pa.int64()),
-            )
 
-        return f
+def payload_firsts(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """(id, digest, first): ids and payloads (SHA-1 in hexadecimal) of which a smaller id, first, has
+    an equal payload of at least least_bytes bytes."""
 
-    given = pages.select(F.col(id_col).cast("long").alias("id"), F.col(payload_col).alias("html"))
-    digests = materialised(per_document(given, "id long, digest string, n long", rows, "html"))
+    payload = payload_bytes(payload_col)
+    digests = materialised(
+        pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    )
     smallest = digests.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     smallest = materialised(smallest.where("n > 1").select("digest", "low"))
     return (
@@ -165,29 +163,19 @@ def write_warc(
     Returns the manifest (path, records, bytes). Of rows with equal payloads of at least
     least_bytes bytes, the one with the smallest id is a response with the payload, the others
     are revisits without it. Null payloads are empty; null urls are empty; a row with a null id is
-    always a response. Rows that share an id and payload are all alike.
+    always a response. Rows that share an id and payload are all alike; rows that share an id only
+    are judged each by their payload. Ids are integers.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = store.makeQualified(path).toUri().toString()  # a folder without scheme is the default store's
+    store.mkdirs(path)
     firsts = payload_firsts(pages, id_col, payload_col, least_bytes)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
-    joined = rows.join(firsts.select("id", F.col("digest").alias("same"), "first"), "id", "left")
-
-    def build():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            digest = [payload_digest(t or b"") for t in utf8(batch.column("html"))]
-            first = [a if d == s else None for a, d, s in zip(batch.column("first").to_pylist(), digest, batch.column("same").to_pylist(), strict=True)]
-            return record(
-                id=batch.column("id"), url=batch.column("url"), html=batch.column("html"), first=pa.array(first, pa.int64()), digest=pa.array(digest, pa.string())
-            )
-
-        return f
-
-    ready = per_document(joined, "id long, url string, html string, first long, digest string", build, "html")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("html"))
+    joined = rows.withColumn("digest", F.sha1(payload_bytes("html"))).join(firsts, ["id", "digest"], "left")
+    ready = joined.select("id", "url", "html", "first", "digest")
     return materialised(ready.mapInArrow(_write_rows(folder, archive_bytes), "path string, records long, bytes long")).withColumn(
         "folder", F.lit(folder)
     )
@@ -196,20 +184,27 @@ def write_warc(
 FIELDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, digest_ok boolean, path string"
 
 
-def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives of a manifest (path, folder), one archive at a time in a task.
+def read_warc(manifest: DataFrame, with_payload: bool = True, verify_revisits: bool = False) -> DataFrame:
+    """Every record of the archives of a manifest (path, records, bytes, folder), one archive at a
+    time in a task.
 
-    digest_ok says whether a response's payload has the stated digest (null for revisits).
-    payload_bytes is the length of the full payload, also for revisits. A truncated archive, a
-    record of another length than stated or without the version line is an error.
+    digest_ok says whether a response's payload has the stated digest; for a revisit, which has no
+    payload, it is null or, with verify_revisits, whether the response with its digest is among the archives under the page it refers
+    to. payload_bytes is the length of the full payload, also for revisits. A truncated archive (also
+    one that ends between members), a record of another length than stated or without the version
+    line is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(path: str, folder: str) -> Iterator[tuple]:
+        def rows(path: str, folder: str, records: int, size: int) -> Iterator[tuple]:
             store, _ = fs.FileSystem.from_uri(folder)
+            seen, has = 0, store.get_file_info(path).size
+            if has != size:
+                raise ValueError(f"{path} has {has} bytes, the manifest says {size}")
             with store.open_input_stream(path, compression=None, buffer_size=CHUNK) as stream:
                 for pieces in read_members(stream):
                     h, block = parse_record(pieces)
+                    seen += 1
                     stated = h["warc-payload-digest"].removeprefix("sha1:")
                     response = h["warc-type"] == "response"
                     page, refers = h.get("x-page-id"), h.get("x-refers-to-page")
@@ -218,6 +213,8 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         stated, len(block) if response else int(h["x-payload-length"]), block if response and with_payload else None,
                         payload_digest(block) == stated if response else None, path,
                     )
+            if seen != records:
+                raise ValueError(f"{path} has {seen} records, the manifest says {records}")
 
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
         names = [x.split()[0] for x in FIELDS.split(", ")]
@@ -226,9 +223,9 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+            for archive in zip(*(batch.column(c).to_pylist() for c in ("path", "folder", "records", "bytes")), strict=True):
                 held, size = [], 0
-                for row in rows(path, folder):
+                for row in rows(*archive):
                     held.append(row)
                     size += len(row[6] or b"") + 200
                     if size > 4 << 20:
@@ -238,4 +235,10 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield batch_of(held)
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "folder").repartition(tasks, "path").mapInArrow(run, FIELDS)
+    found = manifest.select("path", "folder", "records", "bytes").repartition(tasks, "path").mapInArrow(run, FIELDS)
+    if not verify_revisits:
+        return found
+    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.lit(True).alias("there")).distinct()
+    checked = found.join(responses, ["refers_to", "payload_digest"], "left")
+    ok = F.when(F.col("record_type") == "revisit", F.coalesce("there", F.lit(False))).otherwise(F.col("digest_ok"))
+    return checked.withColumn("digest_ok", ok).select([x.split()[0] for x in FIELDS.split(", ")])

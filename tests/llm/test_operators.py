@@ -315,7 +315,7 @@ def test_empty_tables(spark, empty):
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/\r\nX: y", "abc"), (2, "u", "abc"), (2, "u", "abc"), (3, None, None), (4, "u", ""), (None, "n", "abc"), (0, "z", "\u00e9" * 70000), (9, "", "\r\n\r\nabc")]
+    rows = [(1, "http://a/\r\nX: y", "abc"), (2, "u", "abc"), (2, "u", "abc"), (3, None, None), (4, "u", ""), (5, "t", "abc"), (5, "t", "xyz"), (3, "t", "xyz"), (None, "n", "abc"), (0, "z", "\u00e9" * 70000), (9, "", "\r\n\r\nabc")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     low = {}
     for i, _, h in rows:
@@ -328,6 +328,26 @@ def test_warc_round_trip(spark):
         want.append((str(i), len(p), payload_digest(p), "revisit" if again else "response", low[h or ""] if again else None, None if again else p))
     got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in read_warc(write_warc(pages, archive_bytes=300)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    manifest = write_warc(pages, archive_bytes=300)
+    checked = read_warc(manifest, verify_revisits=True).where("record_type = 'revisit'").select("digest_ok").collect()
+    assert checked and all(r.digest_ok for r in checked)
+    assert read_warc(write_warc(pages.limit(0))).count() == 0
+
+
+def test_an_archive_cut_between_members_is_an_error(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    manifest = write_warc(pages)
+    path = manifest.first().path
+    with open(path, "rb") as f:
+        data = f.read()
+    last = data.rindex(b"\x1f\x8b\x08")
+    with open(path, "wb") as f:
+        f.write(data[:last])
+    with pytest.raises(Exception, match="the manifest says"):
+        read_warc(manifest).count()
+    short = manifest.withColumn("bytes", F.lit(last).cast("long"))
+    with pytest.raises(Exception, match="records, the manifest says"):
+        read_warc(short).count()
 
 
 def test_reader_stops_at_a_cut_archive():

@@ -20,7 +20,7 @@ from termweave.llm.quality import quality_score
 from termweave.llm.simhash_dedup import simhash_components
 from termweave.llm.substring_dedup import substring_dedup, suffix_order
 from termweave.llm.topk_search import top_k_search
-from termweave.llm.url_filter import url_filter
+from termweave.llm.url_filter import mine_rules, url_filter
 from termweave.llm.warc import payload_digest, read_members, read_warc, write_warc
 
 DOCS = "doc_id long, text string, lang string, score double, n_words string"
@@ -376,6 +376,35 @@ def test_urls(spark):
     ]
 
 
+def test_mined_rules(spark):
+    """Against all combinations by brute force; a long url does not multiply them."""
+    import itertools
+    import time
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        segments = rng.sample("abcdef", rng.randint(1, 5))
+        bad = rng.random() < (0.9 if {"a", "b"} <= set(segments) or "f" in segments else 0.3)
+        rows.append(("http://h/" + "/".join(segments), bad))
+    sets = [({"scheme:http", "host:h"} | {f"path:{x}" for x in u.split("/")[3:]}, b) for u, b in rows]
+    names, want = sorted(set().union(*(s for s, _ in sets))), {}
+    for size in range(1, len(names) + 1):
+        for c in itertools.combinations(names, size):
+            have = [b for s, b in sets if s >= set(c)]
+            if sum(have) >= 12 and sum(have) / len(have) >= 0.8 and not any(set(w) < set(c) for w in want):
+                want[c] = (sum(have), round(sum(have) / len(have), 6))
+    long = "http://h/" + "/".join(f"s{i}" for i in range(40))
+    given = spark.createDataFrame(rows + [(None, True), (long, None)], "url string, bad boolean")
+    got = {tuple(sorted(r.tokens)): (r.n, round(r.confidence, 6)) for r in mine_rules(given, 12, 0.0, 0.8).collect()}
+    assert got == want and any(len(c) > 1 for c in want)
+    many = [(long, i % 2 == 0) for i in range(40)] + [(f"{long}/x{i % 5}", i % 3 > 0) for i in range(60)]
+    began = time.time()
+    mine_rules(spark.createDataFrame(many, "url string, bad boolean")).collect()
+    assert time.time() - began < 60
+    assert mine_rules(given.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -255,6 +255,83 @@ def test_lattice_sums_all_segmentations():
     assert 10 ** lattice.scores(["z", "\u00e9"]) == pytest.approx([0.05 * 0.001, 0.05 * 1e-6])
 
 
+    long = ["abcab" * 1200 + "z", "ab" * 3000]
+    ways = lattice._edges(long).total() / math.log(10)
+    assert lattice.scores(long) == pytest.approx(ways)
+
+
+def test_expected_pieces_equal_enumeration():
+    weights = {"\u2581a": 0.2, "\u2581ab": 0.1, "b": 0.3, "c": 0.1, "\u2581": 0.05, "a": 0.02, "bc": 0.04, "abc": 0.01}
+
+    def ways(word):
+        if not word:
+            yield 1.0, []
+        for s, p in weights.items():
+            if word.startswith(s):
+                for q, rest in ways(word[len(s) :]):
+                    yield p * q, [s, *rest]
+
+    words, n = ["abc", "abab", "a", "", "cabcabc"], np.array([3, 1, 4, 2, 5])
+    want = Counter()
+    for w, k in zip(words, n, strict=True):
+        found = list(ways("\u2581" + w))
+        for p, pieces in found:
+            for s in pieces:
+                want[s] += k * p / sum(q for q, _ in found)
+    lattice = Lattice({s: math.log(p) for s, p in weights.items()}, [math.log(0.001)] * 256)
+    got, by_byte = lattice.expected(words, n)
+    assert got == pytest.approx([want[s] for s in weights]) and not by_byte.any()
+    _, by_byte = lattice.expected(["z\u00e9"], np.array([2]))
+    assert [by_byte[b] for b in (ord("z"), 0xC3, 0xA9)] == pytest.approx([2, 2, 2])
+
+
+def test_lm_score_by_brute_force(spark):
+    """The whole score with a vocabulary file, against an own EM over enumerated segmentations."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [(i, t) for i, t in enumerate(["the cat", "The other cat", "a cat", None, "the \u4e2d", "theca", "", "at the cat at"])]
+    train = Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*(t or "").lower().split(), "\n"])
+    ids = [i for i in range(32000) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    number = {model.id_to_piece(i): i for i in ids}
+
+    def ways(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in number:
+                for rest in ways(word[k:]):
+                    yield [number[word[:k]], *rest]
+        if word and word[:1] not in number:
+            for rest in ways(word[1:]):
+                yield [*(number[f"<0x{b:02X}>"] for b in word[0].encode()), *rest]
+
+    lattices = {w: list(ways("\u2581" + w)) for w in {w for _, t in texts for w in (t or "").lower().split()}}
+    counts = np.zeros(32000)
+    for w, n in train.items():
+        if w != "\n":
+            np.add.at(counts, model.encode(w), n)
+    for turn in range(3):
+        total = counts[ids].sum() + 0.1 * len(ids) + train["\n"] + 0.1
+        p = (counts + 0.1) / total
+        chance = {w: [np.prod(p[s]) for s in found] for w, found in lattices.items()}
+        if turn < 2:
+            counts = np.zeros(32000)
+            for w, n in train.items():
+                for s, c in zip(lattices.get(w, []), chance.get(w, []), strict=True):
+                    np.add.at(counts, s, n * c / sum(chance[w]))
+    end = math.log10((train["\n"] + 0.1) / total)
+    want = {i: end + sum(math.log10(sum(chance[w])) for w in (t or "").lower().split()) for i, t in texts}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for frequent in (3, 1 << 18):
+        got = {r.doc_id: r.score for r in lm_score(docs, path, frequent=frequent).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_lm_base(spark, docs, empty):
     rows = [(d, [*(t or "").encode().lower().split(), b"\n"]) for d, t, *_ in made_docs()]
     counts = Counter()

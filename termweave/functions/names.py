@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: English stop words, and the list without single letters that stages after blocking use.
-STOP_WORDS = (
-    "a an and are as at be by for from in is it of on or that the to was were with d s m o y t".split()
-)
+STOP_WORDS = """
+    i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his
+    himself she she's her hers herself it it's its itself they them their theirs themselves what which who whom this
+    that that'll these those am is are was were be been being have has had having do does did doing a an the and but
+    if or because as until while of at by for with about against between into through during before after above below
+    to from up down in out on off over under again further then once here there when where why how all any both each
+    few more most other some such no nor not only own same so than too very s t can will just don don't should
+    should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't
+    haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't
+    weren weren't won won't wouldn wouldn't
+    """.split()
 MATCH_STOP_WORDS = [w for w in STOP_WORDS if w not in ("d", "s", "m", "o", "y", "t")]
 
 #: Upper-case run, capitalised or lower-case word, number, repeated symbol, symbol at the very end.
@@ -56,6 +64,18 @@ def is_subsequence(x: Column, y: Column) -> Column:
     return F.call_function("like", y, F.concat(F.lit("%"), F.array_join(escaped, "%"), F.lit("%")))
 
 
+def is_restricted_subsequence(x: Column, y: Column) -> Column:
+    """As is_subsequence, scanned from left to right, but a vowel of x that is not its first character
+    only counts where the character before it in y is the one before it in x too."""
+    def step(i: Column, j: Column) -> Column:
+        c, before = F.substring(x, i + 1, 1), F.substring(x, i, 1)
+        apart = c.isin(*"aeiou") & (i > 0) & (j > 1) & (before != F.substring(y, j - 1, 1))
+        return F.when((i < F.length(x)) & (c == F.substring(y, j, 1)) & ~apart, i + 1).otherwise(i)
+
+    places = F.when(F.length(y) > 0, F.sequence(F.lit(1), F.length(y))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0), step) == F.length(x)
+
+
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the text between ## and $$."""
     padded = F.concat(F.lit("##"), text, F.lit("$$"))

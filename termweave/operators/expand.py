@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import STOP_WORDS, is_subsequence, starts_with_letter
+from ..functions.names import STOP_WORDS, is_restricted_subsequence, is_subsequence, starts_with_letter
 
 
 def domain_words(corpus: DataFrame) -> DataFrame:
@@ -14,9 +14,15 @@ def domain_words(corpus: DataFrame) -> DataFrame:
     return words.select(F.lower("word").alias("word")).where("word <> ''").distinct()
 
 
-def classified_tokens(names: DataFrame, lexicon: DataFrame, words: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
-    """(name_id, name, pos, token, english): a token is English if its lower-case form is in the
-    lexicon and it is longer than 3, a word of the domain or a stop word."""
+def classified_tokens(
+    names: DataFrame, lexicon: DataFrame, words: DataFrame, stop: list[str] = STOP_WORDS, lemmas: DataFrame | None = None
+) -> DataFrame:
+    """(name_id, name, pos, token, english): a token is English if its lower-case form, or a lemma of
+    it by the optional table lemmas (form, lemma), is in the lexicon and it is longer than 3, a word
+    of the domain or a stop word."""
+    if lemmas is not None:
+        inflected = lemmas.join(lexicon.select(F.col("form").alias("lemma")), "lemma", "left_semi")
+        lexicon = lexicon.select("form").unionByName(inflected.select("form"))
     tokens = names.select("name_id", "name", F.posexplode("tokens").alias("pos", "token"))
     vocabulary = tokens.select(F.lower("token").alias("form")).distinct()
     known = lexicon.select(F.col("form")).distinct().withColumn("listed", F.lit(True))
@@ -60,22 +66,29 @@ def phrase_windows(corpus: DataFrame, vocabulary: DataFrame, max_words: int, sto
     letters = vocabulary.select(F.substring("token", 1, 1).alias("letter")).distinct()
     segment = corpus.select(F.explode(F.split("text", r"[.,;:()=*&]")).alias("s"))
     words = segment.select(F.filter(F.split(F.lower("s"), " "), lambda x: x != "").alias("words"))
-    starts = words.select("words", F.posexplode("words").alias("i", "first")).where(~F.col("first").isin(stop))
-    starts = starts.withColumn("letter", F.substring("first", 1, 1)).join(letters, "letter", "left_semi")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("words") - F.col("i")))
-    windows = starts.where(F.lit(max_words) > 0).select("words", "i", F.explode(lengths).alias("n"))
-    ended = windows.where(~F.get("words", F.col("i") + F.col("n") - 1).isin(stop))
-    return ended.select(F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("phrase")).distinct()
+    # windows are made within the row, so that only they are multiplied and not the words beside them
+    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: ~F.element_at("words", i).isin(stop))
 
+    def windows(i: Column) -> Column:
+        ends = F.sequence(i, F.least(i + F.lit(max_words - 1), F.size("words")))
+        ends = F.filter(ends, lambda j: ~F.element_at("words", j).isin(stop))
+        return F.transform(ends, lambda j: F.array_join(F.slice("words", i, j - i + 1), " "))
 
-def expand_single_word(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    made = words.where((F.lit(max_words) > 0) & (F.size("words") > 0))
+    phrases = made.select(F.explode(F.flatten(F.transform(places, windows))).alias("phrase"))
+    return phrases.join(letters, F.substring("phrase", 1, 1) == F.col("letter"), "left_semi").distinct()
+
+
+def expand_single_word(vocabulary: DataFrame, words: DataFrame, mode: str = "plain") -> DataFrame:
     """(token, expansion): longer domain words with the token's first letter that contain it as a
-    subsequence. The join key is the first letter and the token's second character, met by every
+    subsequence (mode "restricted": see is_restricted_subsequence). The join key is the first letter and the token's second character, met by every
     word under each of its later characters."""
     short = vocabulary.select("token", F.substring("token", 1, 1).alias("a"), F.substring("token", 2, 1).alias("b"))
     later = F.array_distinct(F.array_append(F.split(F.expr("substring(word, 2)"), ""), F.lit("")))
     long = words.select("word", F.substring("word", 1, 1).alias("a"), F.explode(later).alias("b"))
     fits = (F.length("token") < F.length("word")) & is_subsequence(F.col("token"), F.col("word"))
+    if mode == "restricted":
+        fits = fits & is_restricted_subsequence(F.col("token"), F.col("word"))
     return short.join(long, ["a", "b"]).where(fits).select("token", F.col("word").alias("expansion")).distinct()
 
 
@@ -104,7 +117,7 @@ def expand_acronym(vocabulary: DataFrame, phrases: DataFrame, stop: list[str] =
         "aggregate(ws, struct(0 as k, true as ok), (s, x) -> struct("
         " s.k + cast(s.k < length(token) and x.c = substring(token, s.k + 1, 1) as int) as k,"
         " s.ok and s.k < length(token) and (x.c = substring(token, s.k + 1, 1)"
-        "   or array_contains(array(" + ", ".join(f"'{w}'" for w in stop) + "), x.w)) as ok))"
+        "   or array_contains(array(" + ", ".join('"' + w + '"' for w in stop) + "), x.w)) as ok))"
     )
     valid = met.where(F.length("token") < F.length("phrase")).withColumn("end", check)
     return valid.where(F.col("end.ok") & (F.col("end.k") == F.length("token"))).select("token", F.col("phrase").alias("expansion")).distinct()

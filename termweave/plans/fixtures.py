@@ -19,6 +19,15 @@ def abbreviated(word: Column) -> Column:
     return F.upper(F.concat(F.substring(word, 1, 1), F.regexp_replace(F.substring(word, 2, 1000), "[aeiou]", "")))
 
 
+def segments(texts: DataFrame, id_col: str, size: int = 6) -> DataFrame:
+    """(seg_id, name, term): whole texts cut into terms of ``size`` words, and a name for each."""
+    words = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    starts = F.sequence(F.lit(0), F.ceil(F.size("w") / size).cast("int") - 1)
+    cut = words.where(F.size("w") > 0).select("id", F.posexplode(F.transform(starts, lambda i: F.slice("w", i * size + 1, size))).alias("i", "w"))
+    seg_id = long_hash(F.col("id").cast("string"), F.col("i").cast("string"))
+    return cut.select(seg_id.alias("seg_id"), F.array_join(F.transform("w", abbreviated), "_").alias("name"), F.array_join("w", " ").alias("term"))
+
+
 @dataclass
 class Tables:
     spark: SparkSession
@@ -45,10 +54,13 @@ class Tables:
 
     @cached_property
     def large(self) -> DataFrame:
-        """(doc_id, name, term): the first words of the English documents and their abbreviation."""
-        words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 6)
-        found = self.read("documents").where("lang = 'en'").select("doc_id", words.alias("w")).where(F.size("w") >= 3)
-        return found.select("doc_id", F.array_join(F.transform("w", abbreviated), "_").alias("name"), F.array_join("w", " ").alias("term"))
+        """(seg_id, name, term): every six consecutive words of the documents and their abbreviation."""
+        return segments(self.read("documents"), "doc_id")
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        """(seg_id, name, term): as large, from the benchmark."""
+        return segments(self.read("benchmark"), "item_id")
 
     @cached_property
     def cells(self) -> DataFrame:

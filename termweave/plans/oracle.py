@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import re
 
-_STOP = "'a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','were','with','d','s','m','o','y','t'"
+from ..functions.names import MATCH_STOP_WORDS, STOP_WORDS
+
+def _listed(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_STOP, _MATCH_STOP = _listed(STOP_WORDS), _listed(MATCH_STOP_WORDS)
 
 
 def _hash(parts: str) -> str:
@@ -33,6 +39,14 @@ def _grams(x: str) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) + 3), lambda i: substr('##' || {x} || '$$', i, 3)))"
 
 
+def _segments(table: str, key: str) -> str:
+    return f"""
+select seg_id, array_to_string(list_transform(w, lambda x: {_abbr("x")}), '_') as name, array_to_string(w, ' ') as term
+from (select {_hash(f"{key}, i")} as seg_id, ws[6 * i + 1:6 * i + 6] as w
+      from (select {key}, ws, unnest(range(0, cast(ceil(len(ws) / 6.0) as bigint))) as i
+            from (select {key}, {_words("lower(text)")} as ws from {table})))"""
+
+
 #: name -> SELECT; a query may name any of them.
 CTES: dict[str, str] = {
     "gold": f"""
@@ -40,9 +54,8 @@ select {_abbr("w[1]")} || '_' || {_abbr("w[2]")} || '_' || upper(substr(w[3], 1,
 from (select distinct p_name || ' ' || lower(p_type) as term, string_split(p_name || ' ' || lower(p_type), ' ') as w from part)""",
     "names": f"select distinct {_hash('name')} as name_id, name, {_tokens('name')} as tokens from gold",
     "terms": f"select {_hash('term')} as term_id, term, {_tokens('term')} as tokens from gold",
-    "large": f"""
-select doc_id, array_to_string(list_transform(w, lambda x: {_abbr("x")}), '_') as name, array_to_string(w, ' ') as term
-from (select doc_id, ({_words("lower(text)")})[1:6] as w from documents where lang = 'en') where len(w) >= 3""",
+    "large": _segments("documents", "doc_id"),
+    "asked": _segments("benchmark", "item_id"),
     "large_names": "select distinct name, string_split(name, '_') as tokens from large",
     "large_index": f"""
 select distinct token, term from (select term, unnest(string_split(term, ' ')) as token from large)
@@ -223,7 +236,7 @@ full join entries e using (name, pos, token, expansion)""",
 BODIES: dict[str, str] = {
     "scan_gold": "select distinct p_brand as name, p_name || ' ' || p_type as term from part where p_size > 3",
     "scan_names": f"select {_hash('name')} as name_id, name, array_to_string(tokens, ' ') as tokens from large_names",
-    "scan_terms": "select doc_id as term_id, term, term as tokens from large",
+    "scan_terms": "select seg_id as term_id, term, term as tokens from large",
     "format_relation_text": """
 select prefix || '(' || string_agg(c, ', ' order by c) || ')' as value
 from (select distinct upper(p_type) || '.' || upper(replace(p_brand, '#', '')) as prefix, upper(replace(p_name, ' ', '_')) as c from part) group by prefix""",
@@ -239,14 +252,13 @@ with given as (
   union select p_brand || '_' || p_type from part union select name from large)
 select name, array_to_string({_tokens("name")}, ' ') as tokens from given""",
     "domain_words": """
-select distinct word from (select lower(unnest(string_split_regex(text, '[/. ,&()_-]'))) as word from documents where lang = 'en') where word <> ''""",
+select distinct word from (select lower(unnest(string_split_regex(text, '[/. ,&()_-]'))) as word from documents) where word <> ''""",
     "phrase_windows": "select phrase from phrases",
-    "context_tokens": """
+    "context_tokens": f"""
 select name, array_to_string(t, ' ') as context,
   array_to_string(case when len(m) >= 2 and length(m[1]) = 1 then m[2:] else m end, ' ') as matching
 from (select name, list_transform(tokens, lambda x: lower(x)) as t,
-        list_filter(list_transform(tokens, lambda x: lower(x)), lambda x: x not in
-          ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','were','with')) as m
+        list_filter(list_transform(tokens, lambda x: lower(x)), lambda x: x not in ({_MATCH_STOP})) as m
       from large_names)""",
     "noisy_tokens": """
 select name, string_agg(case when english then token else '_' end, ' ' order by pos) as english_tokens,
@@ -266,10 +278,10 @@ select name, string_agg(case when english then token else '_' end, ' ' order by
     "inverted_index": "select token, string_agg(term, '|' order by term) as terms, count(*) as df from term_index group by 1",
     "block_candidates": "select name_id, name, term_id, term from candidates",
     "block_documents": """
-with rare as (select token from large_index group by 1 having count(*) < 30),
-words as (select distinct doc_id as name_id, name, unnest(string_split(term, ' ')) as token from large),
+with rare as (select token from large_index group by 1 having count(*) < 300),
+words as (select distinct seg_id as name_id, name, unnest(string_split(term, ' ')) as token from asked),
 pairs as (select distinct name_id, name, term from words join rare using (token) join large_index using (token))
-select name_id, pairs.name, large.doc_id as term_id, term from pairs join large using (term)""",
+select name_id, pairs.name, large.seg_id as term_id, term from pairs join large using (term)""",
     "blocking_stats": """
 select (select count(*) from candidates) as pairs,
   round((select count(*) from candidates) / ((select count(*) from names) * cast((select count(*) from terms) as double)), 9) as ratio,
@@ -277,7 +289,7 @@ select (select count(*) from candidates) as pairs,
     "label_from_gold": "select name, term, label from labelled",
     "pair_ngrams": "select name, term, p from grams",
     "negative_seeds": f"""
-select name_id, term_id, false as label from grams where p < 0.8 order by {_unit("'negative', name_id, term_id")}, name_id, term_id limit 50""",
+select name_id, term_id, false as label from grams where p < 0.8 order by {_unit("'negative', name_id, term_id")}, name_id, term_id limit (select count(*) from grams where p >= 0.8)""",
     "gold_seeds": "select * from gold_seeds",
     "uncertain_pairs": f"""
 select name_id, term_id, round(entropy, 6) as entropy from (

@@ -56,7 +56,7 @@ def scan_names(t: Tables) -> DataFrame:
 
 @query
 def scan_terms(t: Tables) -> DataFrame:
-    rows = _csv(t, t.large.select(F.col("doc_id").cast("string").alias("id"), F.col("term").alias("terms")))
+    rows = _csv(t, t.large.select(F.col("seg_id").cast("string").alias("id"), F.col("term").alias("terms")))
     return catalog.scan_terms(rows, "terms", F.col("id").cast("long")).select("term_id", "term", text_of("tokens").alias("tokens"))
 
 
@@ -109,7 +109,7 @@ def tokenize_names(t: Tables) -> DataFrame:
 
 @query
 def domain_words(t: Tables) -> DataFrame:
-    return expand.domain_words(t.read("documents").where("lang = 'en'"))
+    return expand.domain_words(t.read("documents"))
 
 
 @query
@@ -194,12 +194,12 @@ def dedup_derived(t: Tables) -> DataFrame:
 
 @query
 def index_token_filter(t: Tables) -> DataFrame:
-    return block.index_tokens(catalog.scan_terms(t.large, "term", F.col("doc_id")))
+    return block.index_tokens(catalog.scan_terms(t.large, "term", F.col("seg_id")))
 
 
 @query
 def df_cap(t: Tables) -> DataFrame:
-    return block.capped_tokens(block.index_tokens(catalog.scan_terms(t.large, "term", F.col("doc_id"))))
+    return block.capped_tokens(block.index_tokens(catalog.scan_terms(t.large, "term", F.col("seg_id"))))
 
 
 @query
@@ -214,9 +214,10 @@ def block_candidates(t: Tables) -> DataFrame:
 
 @query
 def block_documents(t: Tables) -> DataFrame:
-    """Blocking of the names from documents, whose one derived string is their own term."""
-    names = t.large.select(F.col("doc_id").alias("name_id"), "name", F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score"))).alias("derived"))
-    return block.block_candidates(names, catalog.scan_terms(t.large, "term", F.col("doc_id")))
+    """Blocking of names from the benchmark, each with its own term as derived string, against the
+    terms of all documents."""
+    names = t.asked.select(F.col("seg_id").alias("name_id"), "name", F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score"))).alias("derived"))
+    return block.block_candidates(names, catalog.scan_terms(t.large, "term", F.col("seg_id")))
 
 
 @query
@@ -240,7 +241,7 @@ def pair_ngrams(t: Tables) -> DataFrame:
 
 @query
 def score_pairs(t: Tables) -> DataFrame:
-    return t.features.select("name", "term", *[F.round(c, 6).alias(c) for c in features.FEATURES])
+    return t.features.select("name", "term", *[F.round(c, 6).alias(c) for c in features.FEATURES], features.OVERFLOW)
 
 
 @query
@@ -263,7 +264,7 @@ def positive_seeds(t: Tables) -> DataFrame:
 @query
 def negative_seeds(t: Tables) -> DataFrame:
     positives = t.grams.where("p >= 0.8").select("name_id", "term_id")
-    return learn.negative_seeds(t.grams, positives, 50)
+    return learn.negative_seeds(t.grams, positives, positives.count())
 
 
 @query

@@ -9,14 +9,14 @@ import __spark_entry__ as entry
 ROOT = Path(__file__).resolve().parent.parent
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLED = ["scan_gold", "tokenize_names", "domain_words", "phrase_windows", "expand_acronym", "candidate_context", "rank_expansions", "derived_strings", "block_candidates", "uncertain_pairs", "rewrite_rules", "boosted_rerank", "score_eval"]
+WITH_SQL = sorted(entry.oracle_sql())
 
 
 def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", SAMPLED)
+@pytest.mark.parametrize("name", WITH_SQL)
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -46,4 +46,6 @@ def test_nothing_else_imports_llm():
 def test_block_documents_keeps_frequent_tokens(spark, tmp_path):
     rows = [(i, f"shared a{chr(97 + i // 26)}{chr(97 + i % 26)} of it", "en") for i in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert entry.queries()["block_documents"](spark, str(tmp_path)).count() == 40 * 40
+    items = [(i, f"shared z{chr(97 + i)}") for i in range(5)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert entry.queries()["block_documents"](spark, str(tmp_path)).count() == 5 * 40

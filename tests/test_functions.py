@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -130,3 +131,31 @@ def test_incremental_equals_full(spark):
     stale = [F.when(F.col("name_id") == 2, F.lit(0.123)).otherwise(s).alias(c) if c.startswith("normalized") else s for c, s in zip(FEATURES, seen, strict=True)]
     later = full.select("name_id", "tokens", "derived", "term_id", "term_tokens", *stale, (F.col("name_id") == 2).alias("updated"))
     assert {r.name_id: {c: r[c] for c in FEATURES} for r in score_incremental(later).collect()} == values
+
+
+def test_restricted_subsequence(spark):
+    from termweave.functions.names import is_restricted_subsequence
+
+    def scan(x, y):
+        i = 0
+        for j, c in enumerate(y):
+            if i < len(x) and x[i] == c and not (c in "aeiou" and i and j and x[i - 1] != y[j - 1]):
+                i += 1
+        return i == len(x)
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choices("abei", k=rng.randint(0, 4))), "".join(rng.choices("abei", k=rng.randint(0, 7)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = df.select("x", "y", is_restricted_subsequence(F.col("x"), F.col("y")).alias("r")).collect()
+    assert [r.r for r in got] == [scan(x, y) for x, y in rows] and any(r.r for r in got)
+
+
+def test_lemmas_make_a_token_english(spark):
+    from termweave.operators.expand import classified_tokens
+
+    names = spark.createDataFrame([(1, "ORDERS_XQ", ["ORDERS", "XQ"])], "name_id long, name string, tokens array<string>")
+    lexicon, words = spark.createDataFrame([("order",)], "form string"), spark.createDataFrame([("x",)], "word string")
+    lemmas = spark.createDataFrame([("orders", "order"), ("xq", "none")], "form string, lemma string")
+    for table, want in ((None, [False, False]), (lemmas, [True, False])):
+        got = classified_tokens(names, lexicon, words, lemmas=table).orderBy("pos").collect()
+        assert [r.english for r in got] == want

@@ -7,7 +7,9 @@ over pairs that are dealt by hash, since pairs of one name cost alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,26 +33,29 @@ _ALIGNED = [
 def _align_rows(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            cols = (batch.column(c).to_pylist() for c in ("_n", "_t", "_nb", "_tb", "_nm", "_tm", "_derived"))
-            for n, t, nb, tb, nm, tm, derived in zip(*cols, strict=True):
-                row = [0.0] * 7
-                over = False
-                if full:
-                    a_num, a_den, _, over_a = best_alignment(n, t)
-                    b_num, b_den, _, over_b = best_alignment(nb, tb)
-                    over = over_a or over_b
-                    x, y = " ".join(n), " ".join(t)
-                    row = [greedy_overlap(nm, tm), a_num, a_den, b_num, b_den, affine(x, y), smith_waterman(x, y)]
-                term, best, size = " ".join(t), 0.0, 0
-                for text in derived or ():
-                    score = smith_waterman(text, term, gap=1.0)
-                    if score > best:
-                        best, size = score, len(text)
-                out.append([*map(float, row), best, float(size), float(over)])
+            n, t, nb, tb, nm, tm, derived = (batch.column(c).to_pylist() for c in ("_n", "_t", "_nb", "_tb", "_nm", "_tm", "_derived"))
+            rows = len(n)
+            terms = [" ".join(x) for x in t]
+            new = {c: np.zeros(rows) for c in _ALIGNED}
+            if full:
+                for kind, left, right in (("abbr", n, t), ("bare", nb, tb)):
+                    for i in range(rows):
+                        new[f"{kind}_num"][i], new[f"{kind}_den"][i], _, over = best_alignment(left[i], right[i])
+                        new["overflow"][i] = max(new["overflow"][i], over)
+                new["overlap"][:] = [*map(greedy_overlap, nm, tm)]
+                whole = [(" ".join(x), y) for x, y in zip(n, terms, strict=True)]
+                new["affine_dist"], new["smith_waterman_dist"] = affine(whole), smith_waterman(whole)
+            # each string of a name and each term meet once, however many rows have the two
+            places = [[(text, term) for text in some or ()] for some, term in zip(derived, terms, strict=True)]
+            distinct = {pair: k for k, pair in enumerate(dict.fromkeys(chain.from_iterable(places)))}
+            scores = smith_waterman([*distinct], gap=1.0)
+            for i, some in enumerate(places):
+                found = scores[[distinct[p] for p in some]] if some else np.zeros(1)
+                if found.max() > 0:
+                    new["best_sw"][i], new["best_len"][i] = found.max(), len(some[int(found.argmax())][0])
             given = [batch.column(i) for i in range(batch.num_columns - 7)]
-            new = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.float64())] * len(_ALIGNED)
-            yield pa.RecordBatch.from_arrays(given + new, names=batch.schema.names[:-7] + [f"_{c}" for c in _ALIGNED])
+            names = batch.schema.names[:-7] + [f"_{c}" for c in _ALIGNED]
+            yield pa.RecordBatch.from_arrays(given + [pa.array(new[c]) for c in _ALIGNED], names=names)
 
     return run
 

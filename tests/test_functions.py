@@ -38,8 +38,8 @@ def test_alignment_vectors():
     assert align.abbreviation_windows(["dob"], ["date", "of", "birth"]) == [[(0, 3, 3, 0)]]
     assert align.best_alignment(["dob"], ["date", "of", "birth"])[:2] == (3, 3)
     assert align.best_alignment(["dob"], ["date", "birth"])[:2] == (0, 0)
-    assert align.smith_waterman("cat", "hat") == pytest.approx(4.0)
-    assert align.affine("dva", "deeva") == pytest.approx(4.8)
+    assert align.smith_waterman([("cat", "hat"), ("", "x")]) == pytest.approx([4.0, 0.0])
+    assert align.affine([("dva", "deeva"), ("", "abc"), ("", "")]) == pytest.approx([4.8, -1.6, 0.0])
     assert align.greedy_overlap(["cust", "addr"], ["customer", "address"]) == 2
 
 
@@ -52,7 +52,7 @@ def test_alignments_equal_plain_recursions(a, b):
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
         h[i][j] = max(0, h[i - 1][j - 1] + score(a[i - 1], b[j - 1]), h[i - 1][j] - 0.8, h[i][j - 1] - 0.8)
         g[i][j] = max(g[i - 1][j - 1] + score(a[i - 1], b[j - 1]), g[i - 1][j] - 0.8, g[i][j - 1] - 0.8)
-    assert align.smith_waterman(a, b) == pytest.approx(max(map(max, h)))
+    assert align.smith_waterman([(b, ""), (a, b), (a + "x", b)])[1] == pytest.approx(max(map(max, h)))
     assert align.needleman_wunsch(a, b) == pytest.approx(g[-1][-1])
 
 
@@ -159,3 +159,22 @@ def test_lemmas_make_a_token_english(spark):
     for table, want in ((None, [False, False]), (lemmas, [True, False])):
         got = classified_tokens(names, lexicon, words, lemmas=table).orderBy("pos").collect()
         assert [r.english for r in got] == want
+
+
+def test_affine_against_the_plain_recurrence():
+    rng = random.Random(6)
+    pairs = [("".join(rng.choices("abc ", k=rng.randint(0, 9))), "".join(rng.choices("abc ", k=rng.randint(0, 9)))) for _ in range(300)]
+
+    def plain(a, b):
+        low = float("-inf")
+        best = {(0, 0): (0.0, low, low)}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i or j:
+                    m = max(best[i - 1, j - 1]) + (2.0 if a[i - 1] == b[j - 1] else -1.0) if i and j else low
+                    x = max(best[i - 1, j][0] - 0.8, best[i - 1, j][1] - 0.4) if i else low
+                    y = max(best[i, j - 1][0] - 0.8, best[i, j - 1][2] - 0.4) if j else low
+                    best[i, j] = (m, x, y)
+        return max(best[len(a), len(b)])
+
+    assert align.affine(pairs) == pytest.approx([plain(a, b) for a, b in pairs])

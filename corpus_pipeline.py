@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.best_fit_packing import best_fit_packing
-from termweave.llm.common import written
+from termweave.llm.common import may_be_in, written
 from termweave.llm.decontaminate import decontaminate
 from termweave.llm.language_id import identify_language
 from termweave.llm.simhash_dedup import simhash_components
@@ -53,12 +53,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     heads = head.join(several, "grp").select("doc", "hash", (F.col("hash") == F.col("least")).alias("first"))
     texts = found.where("doc <> component").select("doc", "hash", F.lit(False).alias("first")).unionByName(heads).distinct()
     texts = written(texts.withColumnsRenamed({"doc": "__doc", "hash": "__hash"}))
-    # what goes, and what repeats, is less than what stays
-    left = rows.join(texts.where("not first"), ["__doc", "__hash"], "left_anti")
-    again = texts.where("first").select("__doc", "__hash")
-    once = left.join(again, ["__doc", "__hash"], "left_anti")
-    repeated = left.join(again, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"])
-    return _restored(once.unionByName(repeated), names)
+    # most rows are not among these texts, by a bitmap, and stay without a join
+    named = may_be_in(F.col("__hash"), texts, "__hash")
+    met = rows.where(named).join(texts, ["__doc", "__hash"], "left").where(F.coalesce("first", F.lit(True)))
+    again = met.where("first is not null").dropDuplicates(["__doc", "__hash"])
+    left = rows.where(~named).unionByName(met.where("first is null").drop("first")).unionByName(again.drop("first"))
+    return _restored(left, names)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

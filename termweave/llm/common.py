@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,3 +111,39 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
                 held.append(part)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def bits_for(n: int, most: int = 1 << 27) -> int:
+    """Bits of a bitmap for n values: 16 to 32 each, ``most`` at most."""
+    return min(most, max(1024, 1 << (16 * n).bit_length()))
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for every value of a long column (its low bits), gathered as at most bits/64 words."""
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = (
+        df.select(F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).alias("bit"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(max(1, bits // 64), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned values may be in the bitmap; those that are always may."""
+    at = values & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def may_be_in(values: Column, df: DataFrame, column: str) -> Column:
+    """Whether a long is, or by the bitmap may be, among the values of df's column."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(df, column, bits_for(df.count())))
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, x.to_numpy(np.int64).view(np.uint64)))
+
+    return among(values)

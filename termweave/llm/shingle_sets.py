@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_document, record, runs, steps, utf8, written
+from .common import may_be_in, per_document, record, runs, steps, utf8, written
 from .components import connected_components
 from .wordhash import byte_values, gram_hashes, span_hashes, word_bounds
 
@@ -118,10 +118,15 @@ def _shared(tokens: DataFrame) -> DataFrame:
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame, shared: DataFrame, enough: str) -> DataFrame:
-    """One text of every class whose number s of shared shingles is enough for its n."""
+    """Texts of every class whose number s of shared shingles is enough for its n.
+
+    A bitmap of the texts' hashes takes the place of a join, which would shuffle all texts. What it
+    lets through beside them only costs: other sets are candidates in vain. It has 2**27 bits at
+    most; past as many classes, the next step sees all texts.
+    """
     counts = shared.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("s"))
-    left = written(classes.join(counts, "cls").where(enough).select("one.*"))
-    return texts.join(left, F.col("hash").eqNullSafe(F.col("h")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
+    left = written(classes.join(counts, "cls").where(enough).select("hash"))
+    return texts.where(may_be_in(F.col("hash"), left, "hash"))
 
 
 def _frequent(shared: DataFrame) -> np.ndarray:
@@ -143,8 +148,7 @@ def _frequent(shared: DataFrame) -> np.ndarray:
 def candidate_sets(texts: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """What similar pairs can consist of: (cls, n, shingles), a row a class; and its prefix rows
     (key, rep, fp, n, pos). texts has doc, hash, text; rows has doc, hash, cls, n, fp."""
-    one = F.min(F.struct(F.col("hash").alias("h"), F.col("doc").alias("d"))).alias("one")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), one)
+    classes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("hash").alias("hash"))
     some = _shared(_token_rows(texts, shingle, 4))
     left = _texts_of(texts, classes, some, "s * 25 > n")
     most = _shared(_token_rows(left, shingle, 1))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, per_document, record, utf8, written
+from .common import bitmap, bits_for, in_bitmap, materialised, per_document, record, utf8, written
 from .wordhash import ascii_words, byte_values, gram_hashes, sliding_min, span_hashes, word_bounds
 
 #: Two independent word hashes; a frequent window is named by both, 128 bits in all.
@@ -81,25 +81,6 @@ def _stem_rows(window: int, stem: int):
     return rows
 
 
-def _bitmap(stems: DataFrame, bits: int) -> np.ndarray:
-    """A bit for every stem (its low bits), gathered as at most bits/64 words."""
-    at = F.col("stem").bitwiseAND(F.lit(bits - 1))
-    words = (
-        stems.select(F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).alias("bit"))
-        .groupBy("word")
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(max(1, bits // 64), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _has(bitmap: np.ndarray, stems: np.ndarray) -> np.ndarray:
-    at = stems & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
 _SUFFIX_SCHEMA = "stem long, deep1 long, deep2 long, doc long, start int, n int, words binary"
 
 
@@ -121,9 +102,9 @@ def _suffix_rows(window: int, stem: int, shared, frequent):
                 hashes = span_hashes(text, at, to, FIRST)
                 stems = _window_stems(hashes, window, stem)
                 begin, end = _runs(stems)
-                keep = _has(some, stems[begin])
+                keep = in_bitmap(some, stems[begin])
                 begin, end = begin[keep], end[keep]
-                hot = _has(many, stems[begin])
+                hot = in_bitmap(many, stems[begin])
                 for b, e in zip(begin[~hot].tolist(), end[~hot].tolist(), strict=True):
                     out.append((stems[b], doc, b, e - b, text[at[b] : to[e + window - 2]]))
                 if hot.any():
@@ -250,9 +231,9 @@ def repeated_spans(
         .select("stem", (F.col("n") > group_words).alias("frequent"))
     )
     n = shared.count()
-    bits = min(bitmap_bits, max(1024, 1 << (16 * n).bit_length()))
-    some = spark.sparkContext.broadcast(_bitmap(shared, bits))
-    many = spark.sparkContext.broadcast(_bitmap(shared.where("frequent"), bits))
+    bits = bits_for(n, bitmap_bits)
+    some = spark.sparkContext.broadcast(bitmap(shared, "stem", bits))
+    many = spark.sparkContext.broadcast(bitmap(shared.where("frequent"), "stem", bits))
     suffixes = written(per_document(texts, _SUFFIX_SCHEMA, _suffix_rows(window, stem, some, many), "text"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spans = (

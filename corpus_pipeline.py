@@ -56,9 +56,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # most rows are not among these texts, by a bitmap, and stay without a join
     named = may_be_in(F.col("__hash"), texts, "__hash")
     met = rows.where(named).join(texts, ["__doc", "__hash"], "left").where(F.coalesce("first", F.lit(True)))
-    again = met.where("first is not null").dropDuplicates(["__doc", "__hash"])
-    left = rows.where(~named).unionByName(met.where("first is null").drop("first")).unionByName(again.drop("first"))
-    return _restored(left, names)
+    if not texts.where("first").isEmpty():
+        again = met.where("first is not null").dropDuplicates(["__doc", "__hash"])
+        met = met.where("first is null").unionByName(again)
+    return _restored(rows.where(~named).unionByName(met.drop("first")), names)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

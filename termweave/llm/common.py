@@ -140,7 +140,7 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def may_be_in(values: Column, df: DataFrame, column: str) -> Column:
     """Whether a long is, or by the bitmap may be, among the values of df's column."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap(df, column, bits_for(df.count())))
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(df, column, bits_for(4 * df.count())))
 
     @F.pandas_udf("boolean")
     def among(x: pd.Series) -> pd.Series:

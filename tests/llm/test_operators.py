@@ -529,3 +529,12 @@ def test_near_dedup_stage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([*lows.values(), None], key=str)
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "alpha beta gamma"), (1, "quite another text"), (1, "quite another text"), (2, "alpha beta gamma"), (3, "third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert got == [(1, "alpha beta gamma"), (1, "quite another text"), (3, "third")]

@@ -7,7 +7,9 @@ by falling bound and stops where the bound falls below its k-th best score; equa
 visited, as ties go to the smaller id.
 
 Cells of blocks meet groups of queries in tasks of bounded size; neither side is gathered by the
-driver. Each task returns k rows a query, and a ranking window keeps k of them.
+driver. Every query first visits one cell alone, its home. The k-th score there is a floor: what
+lies below it is not among the k best of all, so the other cells skip blocks whose bound is below
+the floor and return no rows below it. A ranking window keeps k of what is returned.
 """
 
 from __future__ import annotations
@@ -77,10 +79,11 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def block_search(
-    queries: np.ndarray, weights: np.ndarray, ids: list[np.ndarray], terms: list[np.ndarray], k: int
+    queries: np.ndarray, weights: np.ndarray, ids: list[np.ndarray], terms: list[np.ndarray], k: int, floor: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (ids, scores) of every query, best first, -1 and -inf where there are fewer;
-    and how many query-block pairs were scored. Every block's ids ascend."""
+    """The k best (ids, scores) of every query, best first, -inf where there are fewer; and how many
+    query-block pairs were scored. Every block's ids ascend. Scores below a query's floor are left
+    out, -inf as well."""
     n = len(queries)
     high = np.stack([t.max(0) for t in terms])
     low = np.stack([t.min(0) for t in terms])
@@ -91,7 +94,7 @@ def block_search(
     live, scored = np.arange(n), 0
     for turn in range(len(terms)):
         block = order[live, turn]
-        open_ = bounds[live, block] >= best[live, -1]
+        open_ = bounds[live, block] >= np.maximum(best[live, -1], floor[live])
         live, block = live[open_], block[open_]
         if not len(live):
             break
@@ -100,7 +103,8 @@ def block_search(
             q = live[block == b]
             scores = weights[q] @ terms[b].T
             scores[queries[q, None] == ids[b][None, :]] = -np.inf
-            some = scores.max(1) >= best[q, -1]
+            scores[scores < floor[q, None]] = -np.inf
+            some = scores.max(1) >= np.maximum(best[q, -1], floor[q])
             q, scores = q[some], scores[some]
             if not len(q):
                 continue
@@ -125,7 +129,8 @@ def _search(k: int):
         width = max(t.shape[1] for t in [*terms, *rows])
         terms = [np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in terms]
         weights = np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows])
-        who, best, _ = block_search(qid, weights, ids, terms, k)
+        floor = queries["floor"].fill_null(-np.inf).to_numpy()
+        who, best, _ = block_search(qid, weights, ids, terms, k, floor)
         found = np.isfinite(best)
         return pa.table(
             [pa.array(np.repeat(qid, found.sum(1))), pa.array(who[found]), pa.array(best[found].astype(np.int64))], names=names
@@ -151,14 +156,31 @@ def top_k_search(
     cells = max(1, -(-(index.agg(F.sum("rows")).first()[0] or 0) // cell_rows))
     asked = asked.mapInArrow(_query_rows(scale), "query long, weights binary").distinct()
     asked = materialised(asked)
-    groups = max(1, -(-asked.count() // group_rows))
+    n_queries = asked.count()
     cell = F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("cell")
-    group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("grp")
-    dealt_blocks = index.select("block", "ids", "terms", cell, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    dealt_queries = asked.select("query", "weights", group, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    local = (
-        dealt_blocks.groupBy("cell", "grp").cogroup(dealt_queries.groupBy("cell", "grp"))
-        .applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    )
+    home = F.pmod(F.xxhash64("query", F.lit(1)), F.lit(cells)).cast("int")
+
+    def searched(asked: DataFrame, groups: int) -> DataFrame:
+        """Rows of the queries (query, weights, floor, cell) in their cells, dealt to groups."""
+        group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("grp")
+        dealt = index.select("block", "ids", "terms", cell, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+        return (
+            dealt.groupBy("cell", "grp").cogroup(asked.select("*", group).groupBy("cell", "grp"))
+            .applyInArrow(_search(k), "query_id long, vec_id long, score long")
+        )
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    no_floor = F.lit(None).cast("double").alias("floor")
+    at_home = asked.select("query", "weights", no_floor, home.alias("cell"))
+    found = searched(at_home, max(1, -(-n_queries // (cells * group_rows)))).withColumn("rank", rank).where(F.col("rank") <= k)
+    if cells > 1:
+        found = materialised(found)
+        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("query"), F.col("score").cast("double").alias("floor"))
+        abroad = (
+            asked.join(floors.dropDuplicates(["query"]), "query", "left")
+            .select("query", "weights", "floor", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+            .where(F.col("cell") != home)
+        )
+        local = found.drop("rank").unionByName(searched(abroad, max(1, -(-n_queries // group_rows))))
+        found = local.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -9,13 +9,14 @@ and these are compared word by word. One task searches many stretches of its doc
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_outputs
+from .common import may_be_in, with_outputs, written
 from .wordhash import byte_values, span_hashes, word_bounds
 
 #: Bytes that are in no word: fixed values, the class [\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -187,28 +188,32 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20, carry: tuple[str, ...] = (),
+    item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of docs: id, the carried columns, n_words, n_hit, items, hit_spans.
 
     items is the array of item ids (as strings, sorted) of which a window occurs; hit_spans the
     word spans inside occurrences. Null or wordless texts hit nothing; items without words match
     nothing; an item with a null id hits words but is in no list; rows that share an item id are
-    one item. The benchmark is read in blocks of about block_bytes of text, a bound on what is
-    broadcast at once; every further block searches the same rows in the same stage.
+    one item. The benchmark is searched in blocks of about block_bytes of text, a bound on what the
+    driver builds and a task holds: each block but the last is a job of its own that writes what it
+    finds, a row a text that is hit.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.col(id_col), *[F.col(c) for c in carry], F.col(text_col).alias("__t"))
-    keep = [id_col, *carry]
-    for number in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
-        rows = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in part.collect()]
-        searcher = spark.sparkContext.broadcast(Searcher.of(rows, window))
-
-        def make(searcher=searcher):
+    if blocks > 1:
+        items = written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))))
+    keep = [F.col(id_col), *[F.col(c) for c in carry]]
+    text = F.col(text_col)
+
+    def searched(rows: DataFrame, keep: list, text, number: int):
+        part = items.where(F.col("block") == number) if blocks > 1 else items
+        pairs = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in part.collect()]
+        searcher = spark.sparkContext.broadcast(Searcher.of(pairs, window))
+
+        def make():
             def f(texts):
                 found = searcher.value.find(texts)
                 spans = [[{"start": a, "end": b} for a, b in _spans(mask)] for _, mask, _ in found]
@@ -221,13 +226,30 @@ def decontaminate(
 
             return f
 
-        kept = [F.col(c) for c in out.columns]
-        names = {f"__n{number}": "long", f"__i{number}": "array<string>", f"__s{number}": SPANS}
-        out = with_outputs(out, kept, F.col("__t"), names, make)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"__i{k}") for k in range(blocks)]))))
-    spans = F.flatten(F.array(*[F.col(f"__s{k}") for k in range(blocks)]))
-    if blocks > 1:  # spans of several blocks may overlap: merged from left to right
-        out = out.withColumn("__all", F.array_sort(spans))
+        return with_outputs(rows, keep, text, {"__n": "long", "__i": "array<string>", "__s": SPANS}, make), searcher
+
+    hashes = [F.xxhash64(text).alias("__h"), F.xxhash64(text, F.lit(1)).alias("__g")]
+    earlier = []
+    for number in range(blocks - 1):
+        found, searcher = searched(docs, hashes, text, number)
+        earlier.append(written(found.where(F.size("__s") > 0).select("__h", "__g", "__i", "__s").dropDuplicates(["__h", "__g"])))
+        searcher.unpersist()
+    out, _ = searched(docs, keep + (hashes if earlier else []), text, blocks - 1)
+    items_, spans = F.col("__i"), F.col("__s")
+    if earlier:
+        before = reduce(DataFrame.unionByName, earlier).groupBy("__h", "__g").agg(
+            F.flatten(F.collect_list("__i")).alias("__bi"), F.flatten(F.collect_list("__s")).alias("__bs")
+        )
+        before = written(before)
+        # texts that no earlier block hit stay out of the join, by a bitmap
+        named = may_be_in(F.col("__h"), before, "__h")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("__bi", "array<string>"), ("__bs", SPANS))]
+        out = out.withColumn("__named", named)
+        met = out.where("__named").join(before, ["__h", "__g"], "left")
+        out = met.unionByName(out.where("not __named").select("*", *none))
+        both = [F.flatten(F.array(F.col(c), F.coalesce(b, F.array()))) for c, b in (("__i", "__bi"), ("__s", "__bs"))]
+        out, items_ = out.withColumn("__all", F.array_sort(both[1])), both[0]
+        # spans of several blocks may overlap: merged from left to right
         spans = F.expr(
             """aggregate(__all, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
                case when size(a) > 0 and element_at(a, -1).end >= x.start
@@ -235,8 +257,9 @@ def decontaminate(
                          'end', greatest(element_at(a, -1).end, x.end))))
                     else concat(a, array(x)) end)"""
         )
+    ids = F.array_sort(F.array_distinct(items_))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return (
-        out.select(*keep, F.col("__n0").alias("n_words"), ids.alias("items"), spans.alias("hit_spans"))
+        out.select(*keep, F.col("__n").alias("n_words"), ids.alias("items"), spans.alias("hit_spans"))
         .select(*keep, "n_words", n_hit.alias("n_hit"), "items", "hit_spans")
     )

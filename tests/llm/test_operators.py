@@ -19,7 +19,7 @@ from termweave.llm.lm_scoring import Lattice, lm_score
 from termweave.llm.quality import quality_score
 from termweave.llm.simhash_dedup import simhash_components
 from termweave.llm.substring_dedup import substring_dedup, suffix_order
-from termweave.llm.topk_search import top_k_search
+from termweave.llm.topk_search import block_search, top_k_search
 from termweave.llm.url_filter import mine_rules, url_filter
 from termweave.llm.warc import payload_digest, read_members, read_warc, write_warc
 
@@ -178,6 +178,37 @@ def test_top_k(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
 
 
+def test_top_k_of_few_repeated_and_missing_rows(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [3.0, 1.0]), (2, [3.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cell_rows in (8192, 1):
+        got = top_k_search(v, v.where("vec_id = 50"), block_rows=1, cell_rows=cell_rows)
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect())
+        assert found == [(50, i + 1, d, 5 * 256 * 256) for i, d in enumerate((1, 2, 2))]
+    assert top_k_search(v.limit(0), v.limit(0)).count() == 0
+    assert top_k_search(v, v.limit(0), cell_rows=1).count() == 0
+
+
+def test_floors_leave_blocks_of_other_clusters_unscored():
+    rng = np.random.default_rng(3)
+    centres = 100 * np.eye(8)
+    terms = [np.floor(centres[b % 8] + rng.normal(size=(16, 8))) for b in range(64)]
+    ids = [np.arange(16 * b, 16 * b + 16) for b in range(64)]
+    queries, weights = np.array([-1, -2]), np.floor(centres[:2])
+    none = np.full(2, -np.inf)
+    who, best, scored = block_search(queries, weights, ids, terms, 5, none)
+    assert scored <= 2 * 8
+    every = np.concatenate(terms)
+    for q in range(2):
+        scores = every @ weights[q]
+        order = np.lexsort((np.arange(len(every)), -scores))[:5]
+        assert who[q].tolist() == order.tolist() and best[q].tolist() == scores[order].tolist()
+    # with the k-th score of one cell as a floor, a cell of other clusters is not scored at all
+    far = [b for b in range(64) if b % 8 > 1]
+    _, rest, scored = block_search(queries, weights, [ids[b] for b in far], [terms[b] for b in far], 5, best[:, -1])
+    assert scored == 0 and np.isneginf(rest).all()
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -11,10 +11,19 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch to and from Python. Rows hold whole texts, and a task has a batch of them
+#: on both sides; Spark's own value stands for small rows.
+BATCH_SETTING, SPARKS_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package's sources to the executors of a session, once (as spark-submit --py-files)."""
+    """Hand this package's sources to the executors of a session, once (as spark-submit --py-files).
+
+    Where the session leaves the rows of an Arrow batch at Spark's value, they become ROWS.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == SPARKS_ROWS:
+        spark.conf.set(BATCH_SETTING, ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

@@ -28,6 +28,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 17
 CACHE_WORDS = 100_000
 CHUNK = 64
+#: Words whose features a task holds at once.
+NEW_WORDS = 4096
 VALUES = byte_values(9)
 
 
@@ -242,7 +244,9 @@ class Tagger:
         new = list(set().union(*texts) - self.place.keys())
         if new:
             self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.emissions([w.encode("utf-8", "replace") for w in new])])
+            coded = [w.encode("utf-8", "replace") for w in new]
+            parts = [self.model.emissions(coded[a : a + NEW_WORDS]) for a in range(0, len(coded), NEW_WORDS)]
+            self.table = np.concatenate([self.table, *parts])
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter((p for words in texts for p in map(self.place.__getitem__, words)), np.int64, int(lengths.sum()))
         return forward_backward(self.table[at], self.model.transitions, lengths[lengths > 0])

@@ -13,7 +13,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +76,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
-    """The encoder of a file, loaded once in a Python worker; later tasks of that worker find it."""
-    return Encoder(path)
-
-
 PIECES = "array<struct<piece:int,start:long,length:int,ids_crc32:long>>"
 
 
@@ -96,7 +89,7 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encoder = encoder_of(tokenizer_path)
+        encoder = Encoder(tokenizer_path)  # a task's own: kept by idle workers, it would stand beside the next stages
 
         def f(texts):
             out = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_be_in, per_document, record, runs, steps, utf8, written
+from .common import give_back, may_be_in, per_document, record, runs, steps, utf8, written
 from .components import connected_components
 from .wordhash import byte_values, gram_hashes, span_hashes, word_bounds
 
@@ -70,6 +70,8 @@ def _token_rows(texts: DataFrame, shingle: int, share: int) -> DataFrame:
                 tokens.append(found[: len(found) // share + 1])
                 owners.append(np.full(len(tokens[-1]), cls))
             yield record(token=pa.array(np.concatenate(tokens).view(np.int64)), cls=pa.array(np.concatenate(owners)))
+        seen.clear()
+        give_back()
 
     return texts.select("text").mapInArrow(run, "token long, cls long")
 
@@ -109,6 +111,7 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, none = np.array([last[1]]), np.empty(0, np.int64)
         frequent = last[2] > FREQUENT
         yield rows(some if last[2] > 1 else none, np.array([last[0]]) if frequent else none, np.array([last[2]]) if frequent else none)
+    give_back()
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -186,6 +189,7 @@ def candidate_sets(texts: DataFrame, rows: DataFrame, shingle: int) -> tuple[Dat
                 rep=pa.array(np.repeat(batch.column("cls").to_numpy(), size)), fp=pa.array(np.repeat(batch.column("fp").to_numpy(), size)),
                 n=pa.array(np.repeat(n, size)), pos=pa.array(np.concatenate([*map(np.arange, size), np.empty(0)]).astype(np.int32)),
             )
+        give_back()
 
     prefixes = sets.select("cls", "n", "fp", "shingles").mapInArrow(prefix_rows, "key long, rep long, fp long, n int, pos int")
     return sets, prefixes

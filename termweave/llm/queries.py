@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from .best_fit_packing import best_fit_packing
 from .common import held_out
 from .decontaminate import decontaminate
+from .html_text import extract_text
 from .language_id import identify_language
 from .lm_scoring import lm_score
+from .merkle_manifest import LOWER, UPPER, digest, folded, lowered, merkle_manifest, merkle_proofs, siblings
 from .quality import quality_score
 from .simhash_dedup import simhash_components
 from .substring_dedup import substring_dedup
 from .topk_search import top_k_search
 from .url_filter import url_filter
+from .vector_codes import label_errors, vector_codes
 from .warc import read_warc, write_warc
 
 #: Fixed values of the url query: (verdict, host, path prefix).
@@ -101,14 +105,148 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    manifest = merkle_manifest(table(spark, sf_dir, "documents"), tamper=(tampered, lowered(F.col("text"))))
+    found = merkle_proofs(manifest).withColumn("root", F.lit(manifest.root).cast("string"))
+    again = found.withColumn("folded_root", folded(F.coalesce("second", "digest"), F.col("path")))
+    return again.select(
+        F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        digest(siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    books_hash = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return label_errors(codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_hash).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_knn, op2_substring_dedup, op3_language_crf, op4_lattice_lm, op5_decontaminate, op6_url_filter,
-        op7_warc, op8_pack, op9_topk, op10_simhash,
+        op7_warc, op8_pack, op9_topk, op10_simhash, op11_html_text, op12_merkle, op13_vector_codes,
     )
 }
 
+def _tree_sql(name: str, base: str, levels: int = 8) -> str:
+    """CTEs of the trees over base (g, r, n, d): {name}k has the nodes of level k, {name}sk the siblings of
+    those of level k - 1; base is level 0."""
+    out, below = [], base
+    for k in range(1, levels + 1):
+        out.append(f"""
+{name}s{k} as (
+  select g, r, coalesce(string_agg(d, '') over (w rows between unbounded preceding and 1 preceding), '') as b,
+         coalesce(string_agg(d, '') over (w rows between 1 following and unbounded following), '') as a
+  from {below} where n > 1 window w as (partition by g, r // 16 order by r)),
+{name}{k} as (
+  select g, r // 16 as r, (any_value(n) + 15) // 16 as n, sha256(string_agg(d, '' order by r)) as d
+  from {below} where n > 1 group by g, r // 16)""")
+        below = f"{name}{k}"
+    return ",".join(out)
+
+
+def _path_sql(name: str, levels: int = 8) -> tuple[str, str]:
+    """(joins, list of struct(b, a)) of the siblings of a node (g, r) named x, level by level."""
+    joins = "".join(f" left join {name}s{k} s{k} on s{k}.g = x.g and s{k}.r = x.r // {16 ** (k - 1)}" for k in range(1, levels + 1))
+    listed = ", ".join(f"case when s{k}.b is not null then struct_pack(b := s{k}.b, a := s{k}.a) end" for k in range(1, levels + 1))
+    return joins, f"list_filter([{listed}], lambda s: s is not null)"
+
+
+def _framed_sql(column: str) -> str:
+    return f"coalesce(cast(strlen(cast({column} as varchar)) as varchar) || ':' || cast({column} as varchar), '-')"
+
+
+def _fold_sql(levels: int) -> str:
+    """CTEs f0 ... of the digests that leaves and paths p (struct list) give, step by step."""
+    return ",".join(
+        f"""
+f{k} as (
+  select * exclude (d), case when len(p) >= {k} then sha256(p[{k}].b || d || p[{k}].a) else d end as d from f{k - 1})"""
+        for k in range(1, levels + 1)
+    )
+
+
+def _merkle_sql() -> str:
+    head = " || ".join(_framed_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    joins, path = _path_sql("t")
+    up_joins, up_path = _path_sql("u")
+    return f"""
+with leaves as (
+  select doc_id, source, {_framed_sql("source")} as g, sha256({head} || {_framed_sql("text")}) as d,
+         sha256({head} || {_framed_sql(f"translate(text, '{UPPER}', '{LOWER}')")}) as other,
+         xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+           string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) % 5 as crc5
+  from documents),
+t0 as (
+  select *, row_number() over (partition by g order by doc_id nulls first, d) - 1 as r, count(*) over (partition by g) as n from leaves),
+{_tree_sql("t", "t0")},
+tops as (
+  select g, d from ({" union all ".join(f"select g, d, n from t{k}" for k in range(9))}) where n = 1),
+u0 as (
+  select '' as g, row_number() over (order by source nulls first) - 1 as r, count(*) over () as n, d, tops.g as part
+  from tops join (select distinct g, source from leaves) using (g)),
+{_tree_sql("u", "u0")},
+top as (select d from ({" union all ".join(f"select d, n from u{k}" for k in range(9))}) where n = 1),
+above as (select x.part, x.d as subroot, {up_path} as p from u0 x{up_joins}),
+below as (select x.doc_id, x.g, x.d as leaf, x.other, x.crc5, {path} as p from t0 x{joins}),
+f0 as (
+  select doc_id, leaf, subroot, list_concat(below.p, above.p) as p,
+         case when crc5 = 0 then other else leaf end as d
+  from below join above on above.part = below.g),
+{_fold_sql(16)}
+select doc_id, leaf, subroot, top.d as root, sha256(array_to_string(list_transform(p, lambda s: s.b || s.a), '')) as proof_sha256,
+       f16.d as folded_root, f16.d = top.d as verified
+from f16, top"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+n{k} as (
+  select vec_id, v.part, v.x, min_by(e.entry, [e.dist, e.entry]) as entry, min(e.dist) as dist
+  from (
+    select v.row, v.part, b.entry,
+           cast(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as dist
+    from v join b{k} b using (part)) e
+  join v on v.row = e.row and v.part = e.part group by v.row, vec_id, v.part, v.x)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} as (
+  select part, entry, list(cast((s - ((s % c) + c) % c) // c as bigint) order by i) as x
+  from (
+    select part, entry, i, cast(sum(x[i]) as bigint) as s, count(*) as c
+    from (select part, entry, x, unnest(range(1, len(x) + 1)) as i from n{k}) group by part, entry, i)
+  group by part, entry),
+b{k + 1} as (select part, entry, coalesce(m{k}.x, b.x) as x from b{k} b left join m{k} using (part, entry))""")
+    return f"""
+with kept as (
+  select vec_id, label, row_number() over (order by vec_id nulls last) as row,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (
+  select row, vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] as x
+  from (select row, vec_id, x, unnest(range(0, 16)) as part from kept)),
+b0 as (select part, row - 1 as entry, x from v where row <= 64),{",".join(steps)},
+coded as (
+  select vec_id, string_agg(lpad(printf('%x', cast(entry as bigint)), 2, '0'), '' order by part) as code, cast(sum(dist) as bigint) as error
+  from n{rounds} group by vec_id),
+books as (
+  select sha256(string_agg(array_to_string(list_transform(x, lambda c: cast(c as varchar)), ','), ',' order by part, entry)) as h
+  from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256
+from coded join (select vec_id, label from kept) using (vec_id), books"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
 with split as (
@@ -163,4 +301,6 @@ pairs as (
 ranked as (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op12_merkle": _merkle_sql(),
+    "op13_vector_codes": _codes_sql(),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import MATCH_STOP_WORDS, lower_alnum, matching_tokens, set_jaccard, trigrams, without
-from .align import affine, best_alignment, greedy_overlap, smith_waterman
+from .align import Cache, affine, best_alignment, greedy_overlap, smith_waterman
 
 FEATURES = [
     "overlap_coeff", "jaccard_coeff", "abbr_jaccard_coeff", "abbr_jaccard_coeff_no_stopwords", "rel_diff_num_tokens",
@@ -23,11 +23,7 @@ FEATURES = [
     "normalized_3gram_jaccard_coeff", "normalized_smith_waterman_dist", "normalized_smith_waterman_coeff",
 ]
 NORMALIZED = FEATURES[9:]
-#: Says that a pair has more choices of windows than were tried, so that three features may be too small.
-OVERFLOW = "alignment_overflow"
-_ALIGNED = [
-    "overlap", "abbr_num", "abbr_den", "bare_num", "bare_den", "affine_dist", "smith_waterman_dist", "best_sw", "best_len", "overflow",
-]
+_ALIGNED = ["overlap", "abbr_num", "abbr_den", "bare_num", "bare_den", "affine_dist", "smith_waterman_dist", "best_sw", "best_len"]
 
 
 def _align_rows(full: bool):
@@ -38,13 +34,14 @@ def _align_rows(full: bool):
             terms = [" ".join(x) for x in t]
             new = {c: np.zeros(rows) for c in _ALIGNED}
             if full:
-                for kind, left, right in (("abbr", n, t), ("bare", nb, tb)):
-                    for i in range(rows):
-                        new[f"{kind}_num"][i], new[f"{kind}_den"][i], _, over = best_alignment(left[i], right[i])
-                        new["overflow"][i] = max(new["overflow"][i], over)
+                cache: Cache = {}
+                for i in range(rows):
+                    whole = best_alignment(n[i], t[i], cache=cache)
+                    bare = whole if (nb[i], tb[i]) == (n[i], t[i]) else best_alignment(nb[i], tb[i], cache=cache)
+                    new["abbr_num"][i], new["abbr_den"][i], new["bare_num"][i], new["bare_den"][i] = *whole[:2], *bare[:2]
                 new["overlap"][:] = [*map(greedy_overlap, nm, tm)]
-                whole = [(" ".join(x), y) for x, y in zip(n, terms, strict=True)]
-                new["affine_dist"], new["smith_waterman_dist"] = affine(whole), smith_waterman(whole)
+                joined = [(" ".join(x), y) for x, y in zip(n, terms, strict=True)]
+                new["affine_dist"], new["smith_waterman_dist"] = affine(joined), smith_waterman(joined)
             # each string of a name and each term meet once, however many rows have the two
             places = [[(text, term) for text in some or ()] for some, term in zip(derived, terms, strict=True)]
             distinct = {pair: k for k, pair in enumerate(dict.fromkeys(chain.from_iterable(places)))}
@@ -91,7 +88,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def _scored(pairs: DataFrame, top: int, stop: list[str], full: bool) -> DataFrame:
     made_here = ("derived_grams", "term_grams")
-    given = [c for c in pairs.columns if c not in made_here and (c not in (*FEATURES, OVERFLOW) or (not full and c not in NORMALIZED))]
+    given = [c for c in pairs.columns if c not in made_here and (c not in FEATURES or (not full and c not in NORMALIZED))]
     for column, made in (("derived_grams", name_grams(F.col("derived"), top)), ("term_grams", term_grams(F.col("term_tokens")))):
         if column not in pairs.columns:
             pairs = pairs.withColumn(column, made)
@@ -121,18 +118,15 @@ def _scored(pairs: DataFrame, top: int, stop: list[str], full: bool) -> DataFram
             "smith_waterman_coeff": _ratio(F.col("_smith_waterman_dist"), 2.0 * F.greatest("_nl", "_tl")),
             "abs_diff_num_tokens": F.abs(F.col("_n1") - F.col("_n2")).cast("double"),
         }
-    if full:
-        new[OVERFLOW] = F.col("_overflow") > 0
     new |= {
         "normalized_3gram_jaccard_coeff": F.col("_gram"), "normalized_smith_waterman_dist": F.col("_best_sw"),
         "normalized_smith_waterman_coeff": _ratio(F.col("_best_sw"), 2.0 * F.greatest(F.col("_best_len"), F.col("_tl"))),
     }
-    return out.select(*given, *[(v if k == OVERFLOW else v.cast("double")).alias(k) for k, v in new.items()])
+    return out.select(*given, *[v.cast("double").alias(k) for k, v in new.items()])
 
 
 def score_pairs(pairs: DataFrame, top: int = 10, stop: list[str] = MATCH_STOP_WORDS) -> DataFrame:
-    """pairs (name_id, tokens, derived, term_id, term_tokens, ...) with all twelve features and
-    alignment_overflow.
+    """pairs (name_id, tokens, derived, term_id, term_tokens, ...) with all twelve features.
 
     Where pairs has derived_grams and term_grams (name_grams, term_grams) they are used; they cost
     less made once for each name and term than for each pair.
@@ -143,8 +137,6 @@ def score_pairs(pairs: DataFrame, top: int = 10, stop: list[str] = MATCH_STOP_WO
 def score_incremental(pairs: DataFrame, top: int = 10, stop: list[str] = MATCH_STOP_WORDS) -> DataFrame:
     """pairs with the features of an earlier round (null where new) and updated: new pairs get all
     features, pairs whose derived strings changed the normalised ones, the others keep theirs."""
-    if OVERFLOW not in pairs.columns:
-        pairs = pairs.withColumn(OVERFLOW, F.lit(None).cast("boolean"))
     fresh = _scored(pairs.where("overlap_coeff is null"), top, stop, full=True)
     seen = pairs.where("overlap_coeff is not null")
     changed = _scored(seen.where("coalesce(updated, false)"), top, stop, full=False)

@@ -14,31 +14,26 @@ from .derive import derived_strings
 
 
 def abbreviation_uses(matches: DataFrame, scoring: str = "words", compat: bool = False) -> DataFrame:
-    """(name, token, phrase, overflow): the best abbreviation windows of every matched pair (name, tokens,
-    term_tokens); overflow says that the pair has more choices of windows than were tried."""
+    """(name, token, phrase): the best abbreviation windows of every matched pair (name, tokens, term_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, cache = [], {}
             for name, n, t in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "t")), strict=True):
-                _, _, windows, overflow = best_alignment(n, t, scoring=scoring, compat=compat)
-                out += [(name, n[w[3]], " ".join(t[w[0] : w[1]]), overflow) for w in windows]
-            cols = zip(*out, strict=True) if out else ((), (), (), ())
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
-            columns = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "token", "phrase", "overflow"])
+                _, _, windows = best_alignment(n, t, scoring=scoring, compat=compat, cache=cache)
+                out += [(name, n[w[3]], " ".join(t[w[0] : w[1]])) for w in windows]
+            cols = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["name", "token", "phrase"])
 
     rows = matches.select("name", lower_alnum(F.col("tokens")).alias("n"), lower_alnum(F.col("term_tokens")).alias("t"))
-    return rows.mapInArrow(run, "name string, token string, phrase string, overflow boolean")
+    return rows.mapInArrow(run, "name string, token string, phrase string")
 
 
 def rewrite_rules(uses: DataFrame) -> DataFrame:
-    """(token, expansion, score, overflow, rank): relative frequency of a token's phrases; overflow says
-    that a use of the token comes from a pair whose windows were not all tried."""
+    """(token, expansion, score, rank): relative frequency of a token's phrases."""
     counts = uses.groupBy("token", F.col("phrase").alias("expansion")).agg(F.count("*").alias("n"))
-    overflow = F.max("overflow") if "overflow" in uses.columns else F.lit(False)
-    totals = uses.groupBy("token").agg(F.count("*").alias("total"), overflow.alias("overflow"))
-    scored = counts.join(totals, "token").select("token", "expansion", (F.col("n") / F.col("total")).alias("score"), "overflow")
+    totals = uses.groupBy("token").agg(F.count("*").alias("total"))
+    scored = counts.join(totals, "token").select("token", "expansion", (F.col("n") / F.col("total")).alias("score"))
     order = Window.partitionBy("token").orderBy(F.desc("score"), "expansion")
     return scored.withColumn("rank", F.row_number().over(order))
 

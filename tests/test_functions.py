@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -178,3 +180,95 @@ def test_affine_against_the_plain_recurrence():
         return max(best[len(a), len(b)])
 
     assert align.affine(pairs) == pytest.approx([plain(a, b) for a, b in pairs])
+
+
+def plain_windows(token, words):
+    """(first word, words) by plain recursion over the cuts of a token."""
+
+    def within(x, y):
+        rest = iter(y)
+        return all(c in rest for c in x)
+
+    def cuts(rest, following):
+        inner = [j for j in range(1, len(rest)) if following < len(words) and rest[j] == words[following][0]]
+        return [*inner, len(rest)]
+
+    def longest(rest, i):
+        if not rest:
+            return 0
+        if i == len(words):
+            return -len(words)
+        best = 0
+        for j in cuts(rest, i + 1):
+            if not within(rest[:j], words[i]):
+                break
+            n = longest(rest[j:], i + 1) + 1
+            best = n if rest[:j] == rest == words[i] else max(best, n)
+        return best if best > 0 else -len(words)
+
+    out = []
+    for i, word in enumerate(words):
+        for j in cuts(token, i + 1) if word[0] == token[0] else ():
+            if not within(token[:j], word):
+                break
+            n = longest(token[j:], i + 1) + 1
+            if n > 0 and (i, n) not in out:
+                out.append((i, n))
+    return out
+
+
+def plain_alignment(tokens, words, scoring, compat):
+    """The first of the best choices, of all choices."""
+    options = [[(j, j + n, n, i) for j, n in plain_windows(t, words)] for i, t in enumerate(tokens)]
+    best = (0.0, 0, 0, [])
+    options = [some for some in options if some]
+    for choice in itertools.product(*options) if options else ():
+        found = []
+        for kept, plain in ((k := align.earliest_end(list(choice)), k), (align.heaviest(list(choice), compat), align.heaviest(list(choice)))):
+            span = sum(w[2] for w in plain)
+            n, d = (span, len(tokens) + len(words) - len(plain)) if scoring == "words" else (len(plain), len(tokens) + len(words) - span)
+            found.append((n / d, n, d, kept))
+        one = found[0] if found[0][0] >= found[1][0] else found[1]
+        if one[0] > best[0]:
+            best = one
+    return best[1:]
+
+
+short = st.text("abc", min_size=1, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(short, st.lists(st.text("abc", min_size=1, max_size=5), max_size=6))
+def test_token_windows_equal_enumeration(token, words):
+    assert list(dict.fromkeys(align.token_windows(token, tuple(words)))) == plain_windows(token, words)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(short, max_size=5), st.lists(st.text("abc", min_size=1, max_size=4), max_size=6), st.sampled_from(["words", "windows"]), st.booleans())
+def test_best_alignment_equals_full_product(tokens, words, scoring, compat):
+    assert align.best_alignment(tokens, words, scoring, compat) == plain_alignment(tokens, words, scoring, compat)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_alignment_of_many_choices_equals_full_product(seed):
+    rng = random.Random(seed)
+    tokens, words = ["a"] * 6 + ["ab"], ["ab", "ac", "ab", "bb", "ad", "aab"]
+    rng.shuffle(tokens)
+    rng.shuffle(words)
+    sizes = [len(some) for some in align.abbreviation_windows(tokens, words)]
+    assert 20_000 < math.prod(sizes) < 2_000_000
+    assert align.best_alignment(tokens, words) == plain_alignment(tokens, words, "words", False)
+
+
+def test_alignments_of_repeated_letters_are_fast():
+    words = tuple("a" + chr(98 + i % 20) * 3 + "a" for i in range(60))
+    least = min(_timed(lambda: align.token_windows("a" * 60, words)) for _ in range(5))
+    assert least < 0.01
+    assert _timed(lambda: align.best_alignment(["a"] * 12, ["a" + chr(98 + i) for i in range(12)])) < 1
+    assert align.best_alignment(["a"] * 12, ["a" + chr(98 + i) for i in range(12)])[:2] == (12, 12)
+
+
+def _timed(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began

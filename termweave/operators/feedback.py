@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import lower_alnum
@@ -82,36 +82,67 @@ def revise_rules(classified: DataFrame, combined: DataFrame, old: DataFrame, rul
     )
 
 
-def merge_derived(names: DataFrame, local: DataFrame, overall: DataFrame) -> DataFrame:
+def _first_entries(dictionary: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first ``most`` distinct expansions of every key, in the order of their text."""
+    order = Window.partitionBy(*keys).orderBy("expansion")
+    rows = dictionary.select(*keys, "expansion").distinct().withColumn("_k", F.row_number().over(order))
+    return rows.where(F.col("_k") <= most).drop("_k")
+
+
+def first_products(options: Column, most: Column) -> Column:
+    """The first ``most`` distinct strings of one option per position, in the order of their paths.
+
+    options is an array of arrays of strings. Going from the last position to the first, the first
+    ``most`` endings are all that the first ``most`` strings can have, so each step makes at most
+    most * most strings, whatever the product's size.
+    """
+    def longer(endings: Column, some: Column) -> Column:
+        joined = F.transform(some, lambda o: F.transform(endings, lambda e: F.when(e == "", o).otherwise(F.concat_ws(" ", o, e))))
+        return F.slice(F.array_distinct(F.flatten(joined)), F.lit(1), most)
+
+    return F.aggregate(F.reverse(options), F.array(F.lit("")), longer)
+
+
+def merge_derived(names: DataFrame, local: DataFrame, overall: DataFrame, beam: int = 10) -> DataFrame:
     """(name_id, derived, updated): names (name_id, name, tokens, derived) with the strings that the
-    dictionaries give. A name with an entry of its own keeps only strings scored 1 and adds the
-    new ones at 1; others add them at their top score (0.5 without any). Equal strings keep the
-    higher score; updated says whether the number of strings changed."""
-    tokens = names.select("name_id", "name", F.posexplode(F.transform("tokens", F.lower)).alias("pos", "token"))
-    own = tokens.join(local, ["name", "token"]).select("name_id", "pos", "expansion")
+    dictionaries give, the best ``beam`` of them.
+
+    A token stands for its expansions in the name's own dictionary, else for those in the overall
+    one, else for itself. A name with entries of its own keeps only strings scored 1 and adds the
+    made ones at 1; others add them at their top score (0.5 without any). Equal strings keep the
+    higher score. Order: score, then strings that were there, then the made ones by path (options
+    by their text). updated says whether a string is new or its score rose, of all that the
+    dictionaries give. Made strings are listed lazily: beyond beam and those that the name has, none
+    is needed. A null list of derived strings is an empty one.
+    """
+    given = names.select("name_id", "name", "tokens", F.coalesce("derived", F.array()).alias("derived"))
+    most = beam + 1 + (given.agg(F.max(F.size("derived"))).first()[0] or 0)
+    tokens = given.select("name_id", "name", F.posexplode(F.transform("tokens", F.lower)).alias("pos", "token"))
+    own = tokens.join(_first_entries(local, ["name", "token"], most), ["name", "token"]).select("name_id", "pos", "expansion")
     general = tokens.join(local.select("name", "token").distinct(), ["name", "token"], "left_anti")
-    shared = general.join(overall, "token", "left").select("name_id", "pos", F.coalesce("expansion", "token").alias("expansion"))
+    shared = general.join(_first_entries(overall, ["token"], most), "token", "left").select("name_id", "pos", F.coalesce("expansion", "token").alias("expansion"))
     options = own.unionByName(shared).groupBy("name_id", "pos").agg(F.array_sort(F.collect_set("expansion")).alias("o"))
     lists = options.groupBy("name_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("l"))
-    texts = F.aggregate(
-        "l", F.array(F.lit("")),
-        lambda acc, o: F.flatten(F.transform(acc, lambda a: F.transform(o, lambda e: F.when(a == "", e).otherwise(F.concat_ws(" ", a, e))))),
+    owners = local.select("name").distinct().withColumn("_has", F.lit(True))
+    rows = given.join(owners, "name", "left").join(lists, "name_id", "left").withColumn("_has", F.col("_has").isNotNull())
+    score = F.coalesce(F.array_max(F.transform("derived", lambda d: d["score"])), F.lit(0.5))
+    rows = rows.select(
+        "name_id", F.when(F.col("_has"), F.filter("derived", lambda d: d["score"] == 1.0)).otherwise(F.col("derived")).alias("kept"),
+        F.when(F.col("_has"), 1.0).otherwise(score).alias("top"),
+        F.when(F.col("l").isNull(), F.array().cast("array<string>")).otherwise(first_products(F.col("l"), F.lit(most))).alias("made"),
     )
-    made = lists.select("name_id", F.explode(F.array_distinct(texts)).alias("text"))
-    owners = local.select("name").distinct().withColumn("has", F.lit(True))
-    base = names.join(owners, "name", "left").select("name_id", "derived", F.col("has").isNotNull().alias("has"))
-    top = F.coalesce(F.array_max(F.transform("derived", lambda d: d["score"])), F.lit(0.5))
-    base = base.withColumn("top", F.when(F.col("has"), 1.0).otherwise(top))
-    before = F.when(F.col("has"), F.filter("derived", lambda d: d["score"] == 1.0)).otherwise(F.col("derived"))
-    old = base.withColumn("kept", before)
-    rows = old.select("name_id", F.explode("kept").alias("d")).select("name_id", "d.text", "d.score").unionByName(
-        made.join(old, "name_id").select("name_id", "text", F.col("top").alias("score"))
+    texts = F.transform("kept", lambda d: d["text"])
+    same = lambda t: F.exists("kept", lambda d: (d["text"] == t) & (d["score"] == F.col("top")))
+    best_of = lambda t: F.array_max(F.transform(F.filter("kept", lambda d: d["text"] == t), lambda d: d["score"]))
+    entry = lambda s, fresh, i, t: F.struct((-F.round(s, 9)).alias("o"), F.lit(fresh).alias("n"), i.alias("i"), t.alias("text"), s.alias("score"))
+    old = F.transform(
+        F.array_distinct(texts), lambda t, i: entry(F.when(F.array_contains("made", t), F.greatest(best_of(t), F.col("top"))).otherwise(best_of(t)), 1, i, t)
     )
-    best = rows.groupBy("name_id", "text").agg(F.max("score").alias("score"))
-    packed = best.groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "text"))).alias("d"))
-    return packed.join(old.select("name_id", F.size("kept").alias("n")), "name_id").select(
-        "name_id", F.transform("d", lambda x: F.struct(x["text"].alias("text"), (-x["s"]).alias("score"))).alias("derived"),
-        (F.size("d") != F.col("n")).alias("updated"),
+    new = F.transform(F.filter("made", lambda t: ~F.array_contains(texts, t)), lambda t, i: entry(F.col("top"), 2, i, t))
+    ordered = F.slice(F.array_sort(F.concat(old, new)), 1, beam)
+    return rows.select(
+        "name_id", F.transform(ordered, lambda x: F.struct(x["text"].alias("text"), x["score"].alias("score"))).alias("derived"),
+        F.exists("made", lambda t: ~same(t)).alias("updated"),
     )
 
 

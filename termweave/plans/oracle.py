@@ -226,6 +226,24 @@ select s.*, expansion, 0.4 as boost from slots s join own using (name, token)
 union all
 select s.*, expansion, 0.3 from slots s join (select distinct token, expansion from dictionary) using (token)
 where s.name not in (select name from own)""",
+    "choices": """
+select *, row_number() over (partition by name_id, pos order by expansion) as r from (
+  select distinct t.name_id, t.name, pos, coalesce(o.expansion, d.expansion, lower(t.token)) as expansion
+  from tokens t left join own o on o.name = t.name and o.token = lower(t.token)
+  left join (select distinct token, expansion from dictionary) d on d.token = lower(t.token) and o.token is null)""",
+    "made_strings": """
+select name_id, text, min(k) as k from (
+  select a.name_id, a.expansion || ' ' || b.expansion || ' ' || c.expansion as text,
+    row_number() over (partition by a.name_id order by a.r, b.r, c.r) as k
+  from (select * from choices where pos = 0) a join (select * from choices where pos = 1) b using (name_id)
+  join (select * from choices where pos = 2) c using (name_id)) group by all""",
+    "tops": """
+select n.name_id, n.name in (select name from own) as has,
+  case when n.name in (select name from own) then 1.0 else coalesce(max(score), 0.5) end as top
+from names n left join derived d using (name_id) group by n.name_id, n.name""",
+    "kept_strings": """
+select name_id, text, max(score) as score, min(i) as i from derived join tops using (name_id)
+where not has or score = 1.0 group by all""",
     "boosted": """
 select name, pos, expansion, coalesce(r.score, 0.0) + coalesce(e.boost, 0.0) as score
 from (select name, pos, lower(token) as token, expansion, score from ranked join classified using (name_id, pos)) r
@@ -314,6 +332,17 @@ from matches m full join gold g on m.name = g.name and m.term = g.term""",
     "boosted_rerank": """
 select name, cast(pos as integer) as pos, expansion, round(score, 6) as score, cast(rank as integer) as rank from (
   select *, row_number() over (partition by name, pos order by round(score, 9) desc, expansion) as rank from boosted) where rank <= 3""",
+    "merge_derived": """
+with merged as (
+  select t.name_id, coalesce(k.text, m.text) as text, m.text is not null and (k.text is null or k.score < t.top) as fresh,
+    case when k.text is null then t.top when m.text is null then k.score else greatest(k.score, t.top) end as score,
+    k.text is null as added, coalesce(k.i, m.k) as place
+  from (select * from kept_strings) k full join made_strings m on k.name_id = m.name_id and k.text = m.text
+  join tops t on t.name_id = coalesce(k.name_id, m.name_id)),
+placed as (
+  select *, row_number() over (partition by name_id order by round(score, 9) desc, added, place) as i, bool_or(fresh) over (partition by name_id) as updated
+  from merged)
+select name_id, updated, cast(i - 1 as integer) as i, text, round(score, 6) as score from placed where i <= 10""",
     "past_examples": f"""
 with here as (select * from candidates where {_unit("'now', name_id, term_id")} < 0.5)
 select name, term from here union all

@@ -366,8 +366,8 @@ def boosted_rerank(t: Tables) -> DataFrame:
 @query
 def merge_derived(t: Tables) -> DataFrame:
     names = t.names.join(t.derived, "name_id")
-    out = feedback.merge_derived(names, *_some_dictionary(t)).select("name_id", "updated", F.explode("derived").alias("d"))
-    return out.select("name_id", "updated", "d.text", F.round("d.score", 6).alias("score"))
+    out = feedback.merge_derived(names, *_some_dictionary(t)).select("name_id", "updated", F.posexplode("derived").alias("i", "d"))
+    return out.select("name_id", "updated", "i", "d.text", F.round("d.score", 6).alias("score"))
 
 
 @query

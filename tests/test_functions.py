@@ -272,3 +272,47 @@ def _timed(f):
     began = time.perf_counter()
     f()
     return time.perf_counter() - began
+
+
+def test_merge_derived_equals_brute_force(spark):
+    from termweave.operators.feedback import merge_derived
+
+    rng = random.Random(2)
+    rows, local, overall = [], [], [(t, f"{t}{k}") for t in "abcd" for k in range(rng.randint(0, 4))]
+    overall += [("a", "a x"), ("b", "x b"), ("a", "a0")]
+    for i in range(60):
+        tokens = [rng.choice("ABCDE") for _ in range(rng.randint(0, 3))]
+        made = sorted({rng.choice(["a0 b0", "a x b", "c1", "zz", "a1 a1"]) for _ in range(rng.randint(0, 3))})
+        rows.append((i, f"n{i}", tokens, [(t, rng.choice([1.0, 0.8, 0.3])) for t in made] if i % 9 else None))
+        if i % 4 == 0:
+            local += [(f"n{i}", t.lower(), f"own {t.lower()}{k}") for t in tokens[:1] for k in range(2)]
+    beam = 6
+    names = spark.createDataFrame(rows, "name_id long, name string, tokens array<string>, derived array<struct<text:string,score:double>>")
+    got = merge_derived(names, spark.createDataFrame(local, "name string, token string, expansion string"), spark.createDataFrame(overall, "token string, expansion string"), beam)
+    want = {}
+    for i, name, tokens, derived in rows:
+        has = any(x[0] == name for x in local)
+        kept = [(t, s) for t, s in derived or [] if not has or s == 1.0]
+        top = 1.0 if has else max([s for _, s in derived or []], default=0.5)
+        options = []
+        for t in map(str.lower, tokens):
+            mine = {e for n, x, e in local if n == name and x == t} or {e for x, e in overall if x == t} or {t}
+            options.append(sorted(mine))
+        made = list(dict.fromkeys(" ".join(c) for c in itertools.product(*options))) if tokens else []
+        best = {}
+        for k, (t, s) in enumerate([*kept, *((m, top) for m in made)]):
+            best[t] = (max(s, best[t][0]), *best[t][1:]) if t in best else (s, k >= len(kept), k)
+        order = sorted(best, key=lambda t: (-best[t][0], *best[t][1:]))[:beam]
+        want[i] = ([(t, best[t][0]) for t in order], any((m, top) not in kept for m in made))
+    assert {r.name_id: ([tuple(d) for d in r.derived], r.updated) for r in got.collect()} == want
+
+
+def test_merge_derived_of_long_names_is_bounded(spark):
+    from termweave.operators.feedback import merge_derived
+
+    letters = "abcdefghij"
+    names = spark.createDataFrame([(1, "n", list(letters), [("x", 0.4)])], "name_id long, name string, tokens array<string>, derived array<struct<text:string,score:double>>")
+    overall = spark.createDataFrame([(t, f"{t}{k:02}") for t in letters for k in range(20)], "token string, expansion string")
+    local = spark.createDataFrame([], "name string, token string, expansion string")
+    row = merge_derived(names, local, overall).first()
+    assert row.updated and [d.text for d in row.derived] == ["x"] + [" ".join(f"{t}00" for t in letters[:-1]) + f" j{k:02}" for k in range(9)]

@@ -316,3 +316,52 @@ def test_merge_derived_of_long_names_is_bounded(spark):
     local = spark.createDataFrame([], "name string, token string, expansion string")
     row = merge_derived(names, local, overall).first()
     assert row.updated and [d.text for d in row.derived] == ["x"] + [" ".join(f"{t}00" for t in letters[:-1]) + f" j{k:02}" for k in range(9)]
+
+
+def plain_contexts(cells, expansions, reach, stop):
+    import re
+
+    out = []
+    for e in dict.fromkeys(expansions):
+        run = [w for w in re.split("[ -]", e) if len(w) > 1 and w not in stop]
+        for cell, text in cells:
+            if text is None or not run or e not in text.lower():
+                continue
+            words = [w for w in re.split(r"[;:'/. ,&()_-]", text.lower()) if len(w) > 1 and w not in stop]
+            right, start = len(run) + reach if " " in e else reach, 0
+            for p in range(len(words)):
+                if p >= start and words[p : p + len(run)] == run:
+                    end = min(p + right, len(words))
+                    out.append((e, cell, words[max(p - reach, start) : end]))
+                    start = end
+    return sorted(out, key=str)
+
+
+def test_contexts_equal_plain_search(spark):
+    from termweave.operators.context import candidate_context
+
+    rng = random.Random(8)
+    words = ["red", "fox", "ox", "of", "a", "Yard", "yard", "the", "blue"]
+    cells = [(f"c{i}", "".join(rng.choice(words) + rng.choice([" ", " ", " ", "-", ". ", "", " & "]) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    cells += [("null", None), ("empty", ""), ("apart", "red - yard and fox yard. redox yards"), ("end", "red yard")]
+    expansions = ["red", "red fox", "fox yard", "red-yard", "of red", "red of yard", "the", "a", "ox yard", "blue a red", "yard", "yard", "x yard"]
+    got = candidate_context(spark.createDataFrame(cells, "cell_id string, text string"), spark.createDataFrame([(e,) for e in expansions], "expansion string"), 2, ["of", "the"])
+    assert sorted([tuple(r) for r in got.select("expansion", "cell_id", "window").collect()], key=str) == plain_contexts(cells, expansions, 2, ["of", "the"])
+
+
+def test_contexts_carry_no_texts(spark):
+    from termweave.operators.context import postings
+
+    cells = spark.createDataFrame([("c", " ".join(f"word{i}" for i in range(3000)))], "cell_id string, text string")
+    rows = postings(cells, 3, 2, 4).collect()
+    assert len(rows) == 3000 and max(len(r.around) for r in rows) == 8 and max(len(r.as_is.split()) for r in rows) == 4
+
+
+def test_vector_sums_equal_plain_ones(spark):
+    from termweave.operators.context import expansion_vector, name_context_vector
+
+    vectors = spark.createDataFrame([("ab", [1.0, 2.0]), ("cd", [3.0, -1.0])], "word string, vector array<double>")
+    names = spark.createDataFrame([(1, ["AB", "cd", "ab", "x", "zz"]), (2, ["zz"]), (3, ["CD"])], "name_id long, tokens array<string>")
+    assert {r.name_id: r.vector for r in name_context_vector(names, vectors).collect()} == {1: pytest.approx([5 / 3, 1.0]), 3: [3.0, -1.0]}
+    contexts = spark.createDataFrame([("e", ["ab", "zz"]), ("e", ["cd", "ab"]), ("f", ["zz"])], "expansion string, window array<string>")
+    assert {r.expansion: r.vector for r in expansion_vector(contexts, vectors).collect()} == {"e": pytest.approx([1.25, 0.75])}

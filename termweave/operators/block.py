@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import STOP_WORDS, starts_with_letter
+from ..session import shared_dir
 
 
 def index_tokens(terms: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
@@ -19,21 +20,76 @@ def capped_tokens(index: DataFrame, cap: int = 300) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") < cap)
 
 
-def inverted_index(index: DataFrame) -> DataFrame:
-    """(token, terms, df): the terms of every token, sorted."""
-    return index.groupBy("token").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.count("*").alias("df"))
+def inverted_index(index: DataFrame, size: int = 1000) -> DataFrame:
+    """(token, block, terms, df): the terms of every token, in sorted lists of at most ``size``.
 
+    index has distinct (token, term). A token's terms are dealt by hash into buckets sized by its
+    frequency, and a bucket that is still longer is cut; block numbers a token's lists by bucket.
+    """
+    sized = index.join(index.groupBy("token").agg(F.count("*").alias("df")), "token")
+    bucket = F.pmod(F.xxhash64("term"), F.ceil(F.col("df") * 2 / size).cast("long"))
+    dealt = sized.where("df > 0").withColumn("_b", bucket)
+    place = F.row_number().over(Window.partitionBy("token", "_b").orderBy("term")) - 1
+    cut = dealt.withColumn("_c", F.floor(place / size))
+    lists = cut.groupBy("token", "_b", "_c").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.first("df").alias("df"))
+    block = F.row_number().over(Window.partitionBy("token").orderBy("_b", "_c")) - 1
+    return lists.select("token", block.alias("block"), "terms", "df")
 
-def block_candidates(names: DataFrame, terms: DataFrame, top: int = 10, cap: int = 300, stop: list[str] = STOP_WORDS) -> DataFrame:
-    """Candidate pairs: names (name_id, name, derived) and terms that share a word of one of the
-    first ``top`` derived strings, below the frequency cap. Equal terms give a pair for each id."""
-    index = index_tokens(terms, stop)
-    rare = index.join(capped_tokens(index, cap).select("token"), "token")
-    first = F.slice("derived", 1, top)
-    words = names.select("name_id", "name", F.explode(F.transform(first, lambda d: d["text"])).alias("text"))
-    words = words.select("name_id", "name", F.explode(F.split("text", " ")).alias("token")).distinct()
-    pairs = words.join(rare, "token").select("name_id", "name", "term").distinct()
-    return pairs.join(terms.select("term", "term_id"), "term").select("name_id", "name", "term_id", "term")
+
+#: So many tokens at most are named in a broadcast.
+FEW_TOKENS = 1_000_000
+
+
+def _few(tokens: DataFrame) -> DataFrame:
+    """tokens, to be broadcast if they are few."""
+    return F.broadcast(tokens) if tokens.count() <= FEW_TOKENS else tokens
+
+
+def _grid(left: DataFrame, right: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """left and right (token, key, ...) with _l and _r, so that joined on token, _l and _r every pair of
+    rows of a token meets once, and no more than about size * size of them under one key."""
+    counts = lambda df, name: df.groupBy("token").agg(F.ceil(F.count("*") / size).alias(name))
+    cells = counts(left, "_nl").join(counts(right, "_nr"), "token").where("_nl > 1 or _nr > 1").checkpoint()
+    if cells.isEmpty():
+        one = F.lit(0).cast("long")
+        return left.withColumns({"_l": one, "_r": one}), right.withColumns({"_l": one, "_r": one})
+    cells = _few(cells)
+
+    def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        n, m = F.coalesce(n_own, F.lit(1)), F.coalesce(n_other, F.lit(1))
+        rows = df.join(cells, "token", "left").withColumn(own, F.pmod(F.xxhash64("key"), n))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).drop("_nl", "_nr")
+
+    return dealt(left, "_l", "_r", "_nl", "_nr"), dealt(right, "_r", "_l", "_nr", "_nl")
+
+
+def block_candidates(
+    names: DataFrame, terms: DataFrame, top: int = 10, cap: int = 300, stop: list[str] = STOP_WORDS, size: int = 1000
+) -> DataFrame:
+    """Candidate pairs: names (name_id, name, derived) and terms (term_id, term, tokens) that share a
+    word of one of the first ``top`` derived strings, below the frequency cap. Equal terms give a pair
+    for each id, and repeated rows of a term one for each; name ids are distinct.
+
+    A pair that shares several tokens is made at the smallest of them alone, which both rows can tell
+    from the tokens that they carry, so pairs are not made distinct by a shuffle. Tokens with more
+    than ``size`` rows on a side are joined in cells of about size * size pairs.
+    """
+    shared_dir(terms.sparkSession)
+    tokens = F.filter("tokens", lambda x: starts_with_letter(x) & ~F.lower(x).isin(stop))
+    listed = terms.select("term_id", "term", F.array_distinct(F.transform(tokens, F.lower)).alias("tokens")).where(F.size("tokens") > 0).checkpoint()
+    df = listed.select("term", "tokens").distinct().select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    frequent = _few(df.where(F.col("df") >= cap).select("token").checkpoint())
+    texts = F.transform(F.slice("derived", 1, top), lambda d: F.split(d["text"], " "))
+    words = names.select("name_id", "name", F.explode(F.array_distinct(F.flatten(texts))).alias("token")).join(frequent, "token", "left_anti")
+    words = words.groupBy("name_id", "name").agg(F.collect_set("token").alias("words")).checkpoint()
+    left = words.select("*", F.xxhash64("name_id", "name").alias("key"), F.explode("words").alias("token"))
+    right = listed.select("*", F.xxhash64("term_id", "term").alias("key"), F.explode("tokens").alias("token"))
+    asked = left.select("token").distinct().checkpoint()
+    # frequent tokens are none of these
+    right = right.join(_few(asked), "token", "left_semi")
+    left, right = _grid(left, right, size)
+    met = left.drop("key").join(right.drop("key"), ["token", "_l", "_r"])
+    return met.where(F.col("token") == F.array_min(F.array_intersect("tokens", "words"))).select("name_id", "name", "term_id", "term")
 
 
 def blocking_stats(candidates: DataFrame, gold: DataFrame, n_names: int, n_terms: int) -> DataFrame:

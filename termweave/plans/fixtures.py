@@ -52,10 +52,16 @@ class Tables:
     def terms(self) -> DataFrame:
         return catalog.scan_terms(self.gold, "term")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are dealt out where it has fewer files than there are cores: a file of one
+        row group is one task's work, however many there are."""
+        df, cores = self.read(name), self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
     @cached_property
     def large(self) -> DataFrame:
         """(seg_id, name, term): every six consecutive words of the documents and their abbreviation."""
-        return segments(self.read("documents"), "doc_id")
+        return segments(self.spread("documents"), "doc_id")
 
     @cached_property
     def asked(self) -> DataFrame:

@@ -55,10 +55,14 @@ from (select distinct p_name || ' ' || lower(p_type) as term, string_split(p_nam
     "names": f"select distinct {_hash('name')} as name_id, name, {_tokens('name')} as tokens from gold",
     "terms": f"select {_hash('term')} as term_id, term, {_tokens('term')} as tokens from gold",
     "large": _segments("documents", "doc_id"),
+    "large_terms": f"""
+select {_hash("doc_id, i")} as seg_id, array_to_string(ws[6 * i + 1:6 * i + 6], ' ') as term
+from (select doc_id, ws, unnest(range(0, cast(ceil(len(ws) / 6.0) as bigint))) as i
+      from (select doc_id, {_words("lower(text)")} as ws from documents))""",
     "asked": _segments("benchmark", "item_id"),
     "large_names": "select distinct name, string_split(name, '_') as tokens from large",
     "large_index": f"""
-select distinct token, term from (select term, unnest(string_split(term, ' ')) as token from large)
+select distinct token, term from (select term, unnest(string_split(term, ' ')) as token from (select distinct term from large_terms))
 where token not in ({_STOP})""",
     "cells": "select 't' || term as cell_id, term as text from gold union all select 'b' || item_id, text from benchmark",
     "lexicon": f"select distinct unnest({_words('lower(text)')}) as form from cells",
@@ -254,13 +258,13 @@ full join entries e using (name, pos, token, expansion)""",
 BODIES: dict[str, str] = {
     "scan_gold": "select distinct p_brand as name, p_name || ' ' || p_type as term from part where p_size > 3",
     "scan_names": f"select {_hash('name')} as name_id, name, array_to_string(tokens, ' ') as tokens from large_names",
-    "scan_terms": "select seg_id as term_id, term, term as tokens from large",
+    "scan_terms": "select seg_id as term_id, term, term as tokens from large_terms",
     "format_relation_text": """
 select prefix || '(' || string_agg(c, ', ' order by c) || ')' as value
 from (select distinct upper(p_type) || '.' || upper(replace(p_brand, '#', '')) as prefix, upper(replace(p_name, ' ', '_')) as c from part) group by prefix""",
     "scan_relation_text": """
 select distinct upper(p_type) as schema_name, upper(replace(p_brand, '#', '')) as table_name, upper(replace(p_name, ' ', '_')) as column_name from part""",
-    "scan_term_text": "select distinct term from large",
+    "scan_term_text": "select distinct term from large_terms",
     "sink_csv": "select name, cast(to_json(tokens) as varchar) as tokens from names",
     "load_vectors": "select word, cast(len(v) as integer) as dims, round(list_sum(list_transform(v, lambda x: x * x)), 6) as norm2 from vectors",
     "tokenize_names": f"""
@@ -293,13 +297,13 @@ select name, string_agg(case when english then token else '_' end, ' ' order by
     "dedup_derived": "select name_id, text, round(max(score), 6) as score from derived group by all",
     "index_token_filter": "select token, term from large_index",
     "df_cap": "select token, count(*) as df from large_index group by 1 having count(*) < 300",
-    "inverted_index": "select token, string_agg(term, '|' order by term) as terms, count(*) as df from term_index group by 1",
+    "inverted_index": "select token, term, count(*) over (partition by token) as df from large_index",
     "block_candidates": "select name_id, name, term_id, term from candidates",
     "block_documents": """
 with rare as (select token from large_index group by 1 having count(*) < 300),
 words as (select distinct seg_id as name_id, name, unnest(string_split(term, ' ')) as token from asked),
 pairs as (select distinct name_id, name, term from words join rare using (token) join large_index using (token))
-select name_id, pairs.name, large.seg_id as term_id, term from pairs join large using (term)""",
+select name_id, pairs.name, large_terms.seg_id as term_id, term from pairs join large_terms using (term)""",
     "blocking_stats": """
 select (select count(*) from candidates) as pairs,
   round((select count(*) from candidates) / ((select count(*) from names) * cast((select count(*) from terms) as double)), 9) as ratio,

@@ -109,7 +109,7 @@ def tokenize_names(t: Tables) -> DataFrame:
 
 @query
 def domain_words(t: Tables) -> DataFrame:
-    return expand.domain_words(t.read("documents"))
+    return expand.domain_words(t.spread("documents"))
 
 
 @query
@@ -204,7 +204,9 @@ def df_cap(t: Tables) -> DataFrame:
 
 @query
 def inverted_index(t: Tables) -> DataFrame:
-    return block.inverted_index(block.index_tokens(t.terms)).select("token", text_of("terms", "|").alias("terms"), "df")
+    """The posting lists of all documents' terms, a row each posting."""
+    lists = block.inverted_index(block.index_tokens(catalog.scan_terms(t.large, "term", F.col("seg_id"))))
+    return lists.select("token", F.explode("terms").alias("term"), "df")
 
 
 @query

@@ -365,3 +365,44 @@ def test_vector_sums_equal_plain_ones(spark):
     assert {r.name_id: r.vector for r in name_context_vector(names, vectors).collect()} == {1: pytest.approx([5 / 3, 1.0]), 3: [3.0, -1.0]}
     contexts = spark.createDataFrame([("e", ["ab", "zz"]), ("e", ["cd", "ab"]), ("f", ["zz"])], "expansion string, window array<string>")
     assert {r.expansion: r.vector for r in expansion_vector(contexts, vectors).collect()} == {"e": pytest.approx([1.25, 0.75])}
+
+
+def test_block_candidates_equal_brute_force(spark):
+    from termweave.operators import block
+
+    rng = random.Random(11)
+    vocabulary = [f"w{c}" for c in "abcdfghij"] + ["hot", "of", "9x"]
+    terms = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 3)))) for i in range(120)] + [(500, "hot wa"), (501, "hot wa"), (501, "hot wa")]
+    names = [(i, f"n{i}", [(" ".join(rng.choices(vocabulary, k=2)), 1.0) for _ in range(rng.randint(0, 3))]) for i in range(80)] + [(900, "none", None)]
+    terms_df = spark.createDataFrame([(i, t, t.title().split()) for i, t in terms], "term_id long, term string, tokens array<string>")
+    names_df = spark.createDataFrame(names, "name_id long, name string, derived array<struct<text:string,score:double>>")
+    usable = lambda t: {w for w in t.split() if w[0].isalpha() and w != "of"}
+    df = {w: len({t for _, t in terms if w in usable(t)}) for w in vocabulary}
+    for cap, size in ((300, 1000), (300, 5), (12, 4)):
+        want = []
+        for i, name, derived in names:
+            words = {w for text, _ in (derived or [])[:2] for w in text.split(" ")}
+            want += [(i, name, k, t) for k, t in terms if any(w in words and df[w] < cap for w in usable(t))]
+        got = block.block_candidates(names_df, terms_df, top=2, cap=cap, size=size)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    index = block.index_tokens(terms_df)
+    lists = block.inverted_index(index, 7).collect()
+    assert max(len(r.terms) for r in lists) <= 7 and len({(r.token, r.block) for r in lists}) == len(lists)
+    assert sorted((r.token, t, r.df) for r in lists for t in r.terms) == sorted((w, t, df[w]) for w in df for t in {t for _, t in terms if w in usable(t)})
+
+
+def test_a_hot_token_is_shared_by_tasks(spark):
+    from termweave.operators import block
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "8", "-1"), strict=True):
+            spark.conf.set(k, v)
+        terms = spark.range(200).selectExpr("id as term_id", "concat('hot t', id) as term", "array('hot', concat('t', id)) as tokens")
+        names = spark.range(3000).selectExpr("id as name_id", "concat('n', id) as name", "array(named_struct('text', 'hot', 'score', 1.0d)) as derived")
+        pairs = block.block_candidates(names, terms, size=50)
+        counts = sorted(r[1] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(counts) == 600_000 and len(counts) == 8 and counts[-1] <= 3 * counts[4]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

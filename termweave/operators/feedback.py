@@ -161,3 +161,19 @@ def refresh_derived(candidates: DataFrame, revised: DataFrame) -> DataFrame:
 def reuse_features(candidates: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """candidates with the features that an earlier round computed; null where a pair is new."""
     return candidates.join(features.select("name_id", "term_id", *columns), ["name_id", "term_id"], "left")
+
+
+def derived_key(derived: Column, top: int = 10) -> Column:
+    """A hash of the first derived strings: features are the same while it is."""
+    return F.xxhash64(F.transform(F.slice(derived, 1, top), lambda d: d["text"]))
+
+
+def changes(pairs: DataFrame, scored: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
+    """pairs (name_id, term_id, derived, ...) with the features ``columns`` and derived_key of an earlier round's
+    scored: null where the pair is new, and updated where the name's first strings are others than then.
+
+    What score_incremental computes follows from these alone, so a pair is rescored only for a change."""
+    before = scored.select("name_id", "term_id", *columns, F.col("derived_key").alias("_before"))
+    now = pairs.drop("derived_key", "updated").withColumn("derived_key", derived_key(F.col("derived"), top))
+    met = now.join(before, ["name_id", "term_id"], "left")
+    return met.withColumn("updated", ~F.col("_before").eqNullSafe(F.col("derived_key"))).drop("_before")

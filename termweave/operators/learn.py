@@ -42,14 +42,14 @@ def gold_seeds(labelled: DataFrame, per_class: int = 5, seed: str = "gold") -> D
     return ranked.where(F.col("r") <= per_class).select(*PAIR, "label")
 
 
-def uncertain_pairs(scored: DataFrame, top: int = 100, draw: int = 10, seed: str = "round") -> DataFrame:
+def uncertain_pairs(scored: DataFrame, top: int = 100, draw: int = 10, seed: str = "round", carry: tuple[str, ...] = ()) -> DataFrame:
     """Of the ``top`` pairs with the highest entropy of p, ``draw`` without replacement, weighted by
     entropy (exponential keys from a hash); those without any entropy come last."""
-    with_entropy = scored.select(*PAIR, "p", binary_entropy(F.col("p")).alias("entropy"))
+    with_entropy = scored.select(*PAIR, *carry, "p", binary_entropy(F.col("p")).alias("entropy"))
     first = with_entropy.orderBy(F.desc(F.round("entropy", 9)), *PAIR).limit(top)
     u = F.greatest(unit_hash(F.lit(seed), *PAIR), F.lit(1e-16))
     key = F.when(F.col("entropy") > 0, -F.log(u) / F.col("entropy"))
-    return first.withColumn("key", key).orderBy(F.asc_nulls_last("key"), *PAIR).limit(draw).select(*PAIR, "entropy")
+    return first.withColumn("key", key).orderBy(F.asc_nulls_last("key"), *PAIR).limit(draw).select(*PAIR, "entropy", *carry)
 
 
 def fit_forest(train: DataFrame, seed: int = 7):
@@ -67,10 +67,14 @@ def assembled(features: DataFrame) -> DataFrame:
     return made.select(*PAIR, "features")
 
 
-def predict(model, vectors: DataFrame) -> DataFrame:
-    """(name_id, term_id, p, match): probability of a match and the forest's answer."""
+def predict(model, vectors: DataFrame, *carry: str) -> DataFrame:
+    """(name_id, term_id, p, match, and the carried columns): probability of a match and the forest's answer."""
     p = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(vectors).select(*PAIR, F.coalesce(p, F.lit(0.0)).alias("p"), (F.coalesce(p, F.lit(0.0)) > 0.5).alias("match"))
+    return model.transform(vectors).select(*PAIR, F.coalesce(p, F.lit(0.0)).alias("p"), (F.coalesce(p, F.lit(0.0)) > 0.5).alias("match"), *carry)
+
+
+#: Training rows of a partition: small ones are fitted in one task, without waiting for many.
+TRAIN_ROWS = 10_000
 
 
 def active_learning(
@@ -78,19 +82,45 @@ def active_learning(
 ):
     """(model, labels): a loop of fitting, scoring the unlabelled pairs and labelling a few.
 
-    truth has the label of every pair that may be asked. The loop ends after ``rounds``, or when
-    fewer than ``least`` pairs are unlabelled. Labels are at most seeds + rounds * draw rows; they
-    are cut from their lineage each round, and the vectors are written once.
+    features has a row a pair; truth has the label of every pair that may be asked (false where it has
+    none), seeds the labels to begin with (those that are no pair of features are left out of fitting,
+    and stay labels). The loop ends after ``rounds``, or when fewer than ``least`` pairs are unlabelled.
+
+    Pairs, their vectors and their answers are joined and written once, before the loop. A round fits on the
+    seeds and the answers so far, of which there are at most rounds * draw, and scores the others in
+    one scan: that small set is sent to every task, so no round shuffles pairs.
     """
-    shared_dir(features.sparkSession)
-    vectors = assembled(features).checkpoint()
-    labels = seeds.select(*PAIR, "label").checkpoint()
+    spark = features.sparkSession
+    shared_dir(spark)
+    given = seeds.select(*PAIR, "label").distinct().checkpoint()
+    answers = truth.select(*PAIR, F.col("label").alias("_answer"))
+    known = assembled(features).join(answers, PAIR, "left").join(given, PAIR, "left")
+    known = known.select(*PAIR, "features", F.coalesce("_answer", F.lit(False)).alias("answer"), "label").checkpoint()
+    first, rest = known.where("label is not null").drop("answer"), known.where("label is null").drop("label")
+    parts = -(-max(1, given.count()) // TRAIN_ROWS)
+    first, left = first.checkpoint(), rest.count()
+    schema = first.select(*PAIR, "features", "label").schema
+    asked: list[tuple] = []
+
+    def labelled() -> DataFrame:
+        return spark.createDataFrame(asked, schema).coalesce(1)
+
+    def fitted(turn: int):
+        # the forest draws by a row's place, so places come from the pairs alone
+        train = first.select(*PAIR, "features", "label").unionByName(labelled())
+        train = train.repartition(parts, *PAIR).sortWithinPartitions(*PAIR).persist()
+        try:
+            return fit_forest(train, seed + turn)
+        finally:
+            train.unpersist()
+
     for turn in range(rounds):
-        rest = vectors.join(labels, PAIR, "left_anti")
-        if rest.limit(least).count() < least:
+        if left < least:
             break
-        model = fit_forest(vectors.join(labels, PAIR), seed + turn)
-        asked = uncertain_pairs(predict(model, rest), draw=draw, seed=f"round {turn}")
-        answers = asked.join(truth, PAIR, "left").select(*PAIR, F.coalesce("label", F.lit(False)).alias("label"))
-        labels = labels.unionByName(answers).checkpoint()
-    return fit_forest(vectors.join(labels, PAIR), seed + rounds), labels
+        scored = predict(fitted(turn), rest, "features", "answer")
+        unseen = scored.join(F.broadcast(labelled().select(*PAIR)), PAIR, "left_anti") if asked else scored
+        new = uncertain_pairs(unseen, draw=draw, seed=f"round {turn}", carry=("features", "answer")).collect()
+        asked += [(*(r[c] for c in PAIR), r["features"], r["answer"]) for r in new]
+        left -= len(new)
+    labels = given.unionByName(labelled().select(*PAIR, "label")) if asked else given
+    return fitted(rounds), labels.checkpoint()

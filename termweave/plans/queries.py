@@ -291,7 +291,7 @@ def fit_predict(t: Tables) -> DataFrame:
 @query
 def active_learning(t: Tables) -> DataFrame:
     truth = t.features.select("name_id", "term_id", "label")
-    model, labels = learn.active_learning(t.features, truth, learn.gold_seeds(truth), rounds=3)
+    model, labels = learn.active_learning(t.features, truth, learn.gold_seeds(truth))
     found = learn.predict(model, learn.assembled(t.features))
     return evaluate.apply_labels(found, labels).select("name_id", "term_id", "match")
 
@@ -408,5 +408,5 @@ def feedback_round(t: Tables) -> DataFrame:
 
 @query
 def match_epochs(t: Tables) -> DataFrame:
-    """Two epochs of block, match and feed back."""
-    return epoch_loop(t, epochs=2, rounds=2).select("name", "term", "match", "score_eval")
+    """Three epochs of block, match and feed back, of few rounds each (active_learning runs all 70)."""
+    return epoch_loop(t, epochs=3, rounds=4).select("name", "term", "match", "score_eval")

@@ -513,6 +513,60 @@ def test_mined_rules(spark):
     assert mine_rules(given.limit(0)).count() == 0
 
 
+def plain_rules(rows, least, confidence, most):
+    """Minimal combinations of at most ``most`` path segments, by brute force."""
+    import itertools
+
+    sets = [({f"path:{x}" for x in u.split("/")[3:]}, b) for u, b in rows]
+    names, want = sorted(set().union(*(s for s, _ in sets))), {}
+    for size in range(1, most + 1):
+        for c in itertools.combinations(names, size):
+            have = [b for s, b in sets if s >= set(c)]
+            if sum(have) >= least and sum(have) / len(have) >= confidence and not any(set(w) < set(c) for w in want):
+                want[c] = (sum(have), round(sum(have) / len(have), 6))
+    return want
+
+
+def mined_rules(spark, rows, least, confidence):
+    given = spark.createDataFrame(rows, "url string, bad boolean")
+    return {tuple(sorted(r.tokens)): (r.n, round(r.confidence, 6)) for r in mine_rules(given, least, 0.0, confidence).collect()}
+
+
+def test_no_token_is_cut(spark):
+    others = "/".join(f"o{i}" for i in range(14))
+    rows = [(f"http://h/a/b/{others}", True)] * 60 + [("http://h/a/x", False)] * 60 + [("http://h/b/y", False)] * 60 + [(f"http://h/{others}", False)] * 60
+    got = mined_rules(spark, rows, 10, 0.9)
+    assert got["path:a", "path:b"] == (60, 1.0)
+    assert got == plain_rules(rows, 10, 0.9, 2) and len(got) == 1 + 2 * 14
+
+
+def test_rules_of_long_urls_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"p{i}" for i in range(20)]
+    rows = []
+    for _ in range(120):
+        have = rng.sample(words, 16)
+        bad = rng.random() < (0.95 if {"p1", "p2", "p3"} <= set(have) else 0.2)
+        rows.append(("http://h/" + "/".join(have), bad))
+    got = mined_rules(spark, rows, 30, 0.85)
+    want = plain_rules(rows, 30, 0.85, 4)
+    assert want and {c: v for c, v in got.items() if len(c) <= 4} == want
+
+
+def test_mined_rules_decide_the_query(spark, tmp_path):
+    from termweave.llm.queries import op6_url_filter
+
+    kinds = [("http://a.info/spam/win", True), ("http://a.info/spam/fine", False), ("http://b.info/talk/win", False), ("http://b.info/talk/fine", False)]
+    pages = [(i, f"{kinds[i % 4][0]}/{i}", "") for i in range(200)] + [(900, "http://c.info/spam/win/x", ""), (901, "http://c.info/spam/no", ""), (902, "http://x.com/en/spam/win", "")]
+    labels = [(i, 0 if kinds[i % 4][1] else 1, 0) for i in range(100)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: r.verdict for r in op6_url_filter(spark, str(tmp_path)).collect()}
+    # learnt from the pages below 100, held out above
+    assert all((got[i] == "block") == kinds[i % 4][1] for i in range(200))
+    assert (got[900], got[901], got[902]) == ("block", "allow", "block")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -175,7 +175,7 @@ def candidate_sets(texts: DataFrame, rows: DataFrame, shingle: int) -> tuple[Dat
     late = texts.sparkSession.sparkContext.broadcast(_frequent(most))
 
     def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, "shingles"):
             n = batch.column("n").to_numpy()
             parts = []
             for s in batch.column("shingles"):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bits_for, in_bitmap, materialised, per_document, record, utf8, written
+from .common import bitmap, bits_for, give_back, in_bitmap, materialised, per_document, record, steps, utf8, written
 from .wordhash import ascii_words, byte_values, gram_hashes, sliding_min, span_hashes, word_bounds
 
 #: Two independent word hashes; a frequent window is named by both, 128 bits in all.
@@ -198,7 +198,7 @@ def _subtree_rows(window: int):
 
         held: list[tuple] = []
         size, bound = 0, TREE_WORDS
-        for batch in batches:
+        for batch in steps(batches, "words"):
             names = ("stem", "doc", "start", "n", "words")
             for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if size >= bound and held and r[0] != held[-1][0]:
@@ -208,6 +208,8 @@ def _subtree_rows(window: int):
                 size += r[3] + window
         if held:
             yield tree(held)
+        held.clear()
+        give_back()
 
     return run
 

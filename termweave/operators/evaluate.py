@@ -68,3 +68,13 @@ def training_report(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(label, gold, examples): how the labelled pairs divide."""
     rows = labels.join(pairs.select("name_id", "term_id", F.col("label").alias("gold")), ["name_id", "term_id"])
     return rows.groupBy("label", "gold").agg(F.count("*").alias("examples"))
+
+
+def training_summary(labels: DataFrame, names: DataFrame, terms: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: examples (labelled pairs), gold (gold pairs), matches (labelled pairs whose name and term, by
+    their ids, are a gold pair)."""
+    named = labels.join(names.select("name_id", "name"), "name_id").join(terms.select("term_id", "term"), "term_id")
+    known = named.join(gold.select("name", "term").distinct(), ["name", "term"], "left_semi")
+    count = lambda df, kind: df.select(*[F.lit(int(k == kind)).alias(k) for k in ("examples", "gold", "matches")])
+    rows = count(labels, "examples").unionByName(count(gold, "gold")).unionByName(count(known, "matches"))
+    return rows.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("examples", "gold", "matches")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import long_hash
-from ..operators import block, context, derive, evaluate, expand, features
+from ..operators import block, context, derive, evaluate, expand, features, learn
 from ..session import shared_dir
-from ..sources import catalog
+from ..sources import catalog, runs
 
 
 def abbreviated(word: Column) -> Column:
@@ -175,6 +176,16 @@ class Tables:
         pairs = self.gold.join(self.names.select("name", "tokens"), "name")
         return abbreviation_uses(pairs.join(self.terms.select("term", F.col("tokens").alias("term_tokens")), "term"))
 
+    @cached_property
+    def run_folder(self) -> str:
+        """The five outputs of a run whose forest is the 3-gram similarity, written below the shared folder."""
+        found = self.grams.select("name_id", "name", "term_id", "term", "p", (F.col("p") > 0.5).alias("match"))
+        names = self.names.join(self.derived, "name_id").select("name_id", "name", "tokens", F.transform("derived", lambda d: d["text"]).alias("derived"))
+        outputs = runs.run_outputs(self.candidates, found, learn.gold_seeds(self.grams), self.gold, names)
+        folder = f"{shared_dir(self.spark)}/run-{uuid.uuid4().hex}"
+        runs.write_run(outputs, folder, {"score_eval": ["score_eval"]})
+        return folder
+
     @staticmethod
     def of(spark: SparkSession, sf_dir: str) -> Tables:
         """The tables of a folder; queries of one session share what was derived before."""

@@ -248,6 +248,14 @@ from names n left join derived d using (name_id) group by n.name_id, n.name""",
     "kept_strings": """
 select name_id, text, max(score) as score, min(i) as i from derived join tops using (name_id)
 where not has or score = 1.0 group by all""",
+    "run_pairs": """
+select m.name_id, m.name, m.term_id, m.term, g.p, m.match as said, s.label, coalesce(s.label, m.match) as match
+from matches m join grams g on m.name_id = g.name_id and m.term_id = g.term_id
+left join gold_seeds s on m.name_id = s.name_id and m.term_id = s.term_id""",
+    "run_judged": """
+select coalesce(m.name, g.name) as name, coalesce(m.term, g.term) as term, match,
+  case when match and g.name is not null then 'TP' when match then 'FP' when g.name is not null then 'FN' else 'TN' end as score_eval
+from run_pairs m full join gold g on m.name = g.name and m.term = g.term""",
     "boosted": """
 select name, pos, expansion, coalesce(r.score, 0.0) + coalesce(e.boost, 0.0) as score
 from (select name, pos, lower(token) as token, expansion, score from ranked join classified using (name_id, pos)) r
@@ -331,6 +339,20 @@ select coalesce(m.name, g.name) as name, coalesce(m.term, g.term) as term,
 from matches m full join gold g on m.name = g.name and m.term = g.term""",
     "review_pairs": f"select name, term, p from grams where p >= 0.3 and not label order by {_unit(chr(39) + 'review' + chr(39) + ', name, term')}, name, term limit 2",
     "training_report": "select s.label, g.label as gold, count(*) as examples from gold_seeds s join grams g using (name_id, term_id) group by all",
+    "training_summary": """
+select (select count(*) from gold_seeds) as examples, (select count(*) from gold) as gold,
+  (select count(*) from gold_seeds s join grams g using (name_id, term_id) where g.label) as matches""",
+    "run_blocking": "select name_id, name, term_id, term from candidates",
+    "run_training_labels": "select name, term, p, said as match, label from run_pairs where label is not null",
+    "run_matches": "select name, term, p, match from run_pairs",
+    "run_score_eval": "select name, term, match, score_eval from run_judged",
+    "run_names": """
+select name_id, name, cast(to_json(tokens) as varchar) as tokens, cast(to_json(list(text order by i)) as varchar) as derived
+from names join derived using (name_id) group by name_id, name, tokens""",
+    "run_manifest": """
+select 'blocking' as name, count(*) as rows from candidates union all select 'training_labels', count(*) from gold_seeds
+union all select 'matches', count(*) from run_pairs union all select 'score_eval', count(*) from run_judged
+union all select 'names', count(*) from (select distinct name_id from derived)""",
     "rewrite_rules": "select token, expansion, round(score, 6) as score, rank from rules",
     "expansion_dictionary": "select name, token, expansion from dictionary",
     "boosted_rerank": """

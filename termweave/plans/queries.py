@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import lower_words, matching_tokens, tokenize, unit_hash
 from ..operators import block, context, derive, evaluate, expand, features, feedback, learn
 from ..session import shared_dir
-from ..sources import catalog
+from ..sources import catalog, runs
 from .fixtures import Tables
 from .jobs import epoch_loop
 
@@ -338,6 +338,44 @@ def training_report(t: Tables) -> DataFrame:
     return evaluate.training_report(learn.gold_seeds(t.grams), t.grams)
 
 
+@query
+def training_summary(t: Tables) -> DataFrame:
+    return evaluate.training_summary(learn.gold_seeds(t.grams), t.names, t.terms, t.gold)
+
+
+# the outputs of a run, as they are read again
+
+
+@query
+def run_blocking(t: Tables) -> DataFrame:
+    return runs.read_run(t.spark, t.run_folder, "blocking").select("name_id", "name", "term_id", "term")
+
+
+@query
+def run_training_labels(t: Tables) -> DataFrame:
+    return runs.read_run(t.spark, t.run_folder, "training_labels").select("name", "term", "p", "match", "label")
+
+
+@query
+def run_matches(t: Tables) -> DataFrame:
+    return runs.read_run(t.spark, t.run_folder, "matches").select("name", "term", "p", "match")
+
+
+@query
+def run_score_eval(t: Tables) -> DataFrame:
+    return runs.read_run(t.spark, t.run_folder, "score_eval").select("name", "term", "match", "score_eval")
+
+
+@query
+def run_names(t: Tables) -> DataFrame:
+    return runs.read_run(t.spark, t.run_folder, "names")
+
+
+@query
+def run_manifest(t: Tables) -> DataFrame:
+    return runs.read_manifest(t.spark, t.run_folder).select("name", "rows")
+
+
 # feedback
 
 

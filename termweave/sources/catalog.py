@@ -53,13 +53,15 @@ def format_relation_text(columns: DataFrame) -> DataFrame:
     return grouped.select(F.concat("prefix", F.lit("("), F.array_join("names", ", "), F.lit(")")).alias("value"))
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """df with arrays and structs as JSON text."""
+    nested = ("array", "struct", "map")
+    return df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in nested else F.col(f.name) for f in df.schema.fields])
+
+
 def sink_csv(df: DataFrame, path: str) -> None:
     """Write a table as CSV with a header; arrays and structs as JSON text."""
-    flat = [
-        F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True)
+    flattened(df).write.mode("overwrite").csv(path, header=True)
 
 
 def load_vectors(table: DataFrame, word: str, vector: str) -> DataFrame:

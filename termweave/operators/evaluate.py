@@ -54,12 +54,12 @@ def match_report(matches: DataFrame, gold: DataFrame) -> DataFrame:
     return precision_recall(matches.where("coalesce(match, false)"), gold)
 
 
-def review_pairs(scored: DataFrame, score: str, threshold: float, n: int = 2) -> DataFrame:
-    """n pairs at or above a score that are not gold, in the order of a hash."""
+def review_pairs(scored: DataFrame, score: str, threshold: float, n: int = 2, gold: bool = False) -> DataFrame:
+    """n pairs at or above a score that are not gold (or that are), in the order of a hash."""
     from ..functions.names import unit_hash
 
     return (
-        scored.where((F.col(score) >= threshold) & ~F.col("label"))
+        scored.where((F.col(score) >= threshold) & (F.col("label") == gold))
         .orderBy(unit_hash(F.lit("review"), "name", "term"), "name", "term").limit(n)
     )
 

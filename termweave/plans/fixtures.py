@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import long_hash
+from ..functions.names import long_hash, tokenize
 from ..operators import block, context, derive, evaluate, expand, features, learn
 from ..session import shared_dir
 from ..sources import catalog, runs
@@ -69,6 +69,40 @@ class Tables:
         """(seg_id, name, term): as large, from the benchmark."""
         return segments(self.read("benchmark"), "item_id")
 
+    @cached_property
+    def asked_gold(self) -> DataFrame:
+        return self.asked.select("name", "term").distinct()
+
+    @cached_property
+    def asked_names(self) -> DataFrame:
+        """(name_id, name, tokens, derived): names from the benchmark, each with its own term as derived string."""
+        own = F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score")))
+        return self.asked.select(F.col("seg_id").alias("name_id"), "name", tokenize(F.col("name")).alias("tokens"), own.alias("derived"))
+
+    @cached_property
+    def asked_pairs(self) -> DataFrame:
+        """(name_id, name, tokens, derived, derived_grams, term_id, term, term_tokens): blocking of the
+        names from the benchmark against the terms of all documents, every distinct term once a name."""
+        names = self.asked_names
+        found = block.block_candidates(names.select("name_id", "name", "derived"), catalog.scan_terms(self.large, "term"))
+        found = self.kept(found.dropDuplicates(["name_id", "term_id"]))
+        grams = names.select("name_id", "tokens", "derived", features.name_grams(F.col("derived")).alias("derived_grams"))
+        return found.join(grams, "name_id").withColumn("term_tokens", tokenize(F.col("term")))
+
+    @cached_property
+    def asked_grams(self) -> DataFrame:
+        """(name_id, name, term_id, term, p): asked_pairs with their 3-gram similarity."""
+        best = features.gram_similarity(F.col("derived_grams"), features.term_grams(F.col("term_tokens")))
+        return self.kept(self.asked_pairs.select("name_id", "name", "term_id", "term", F.round(best, 6).alias("p")))
+
+    @cached_property
+    def large_uses(self) -> DataFrame:
+        """(name, token, phrase): the abbreviations in all terms of the documents."""
+        from ..operators.feedback import abbreviation_uses
+
+        pairs = self.large.select("name", "term").distinct()
+        return self.kept(abbreviation_uses(pairs.select("name", tokenize(F.col("name")).alias("tokens"), tokenize(F.col("term")).alias("term_tokens"))))
+
     @cached_property
     def cells(self) -> DataFrame:
         """(cell_id, text): the corpus."""

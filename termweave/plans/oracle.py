@@ -222,6 +222,29 @@ with recursive walk(token, phrase, w, i, k) as (
   from walk where i <= len(w) and k < length(token)
     and (substr(w[i], 1, 1) = substr(token, k + 1, 1) or w[i] in ({_STOP})))
 select distinct token, phrase as expansion from walk where i = len(w) + 1 and k = length(token)""",
+    "restricted": """
+with recursive walk(token, expansion, i, j) as (
+  select token, expansion, 0, 1 from single
+  union all
+  select token, expansion, case when i < length(token) and substr(token, i + 1, 1) = substr(expansion, j, 1)
+    and not (substr(token, i + 1, 1) in ('a', 'e', 'i', 'o', 'u') and i > 0 and j > 1 and substr(token, i, 1) <> substr(expansion, j - 1, 1))
+    then i + 1 else i end, j + 1
+  from walk where j <= length(expansion))
+select token, expansion from walk where j = length(expansion) + 1 and i = length(token)""",
+    "ruled": """
+select name_id, pos, expansion, score, r.rank from (select name_id, pos, lower(token) as token from classified) join rules r using (token) where r.rank <= 3""",
+    "revised_combined": "select * from combined anti join ruled using (name_id, pos) union all select * from ruled",
+    "asked_pairs": f"""
+select distinct name_id, name, own, term from (select seg_id as name_id, name, term as own, unnest(string_split(term, ' ')) as token from asked)
+join large_index using (token) where token in (select token from large_index group by 1 having count(*) < 300)""",
+    "asked_sets": f"select name_id, name, term, {_grams('own')} as a, {_grams('term')} as b from asked_pairs",
+    "asked_grams": """
+select name_id, name, term, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) as p from asked_sets""",
+    "asked_judged": """
+select m.name is not null as found, g.name is not null as is_gold
+from (select distinct name, term from asked_grams where p > 0.5) m full join (select distinct name, term from asked) g on m.name = g.name and m.term = g.term""",
+    "large_uses": """
+select distinct name, term, lower(unnest(string_split(name, '_'))) as token, unnest(string_split(term, ' ')) as phrase, unnest(range(len(string_split(name, '_')))) as i from large""",
     "dictionary": "select distinct name, token, phrase as expansion from uses",
     "own": f"select * from dictionary where {_unit(chr(39) + 'own' + chr(39) + ', name')} < 1 / 3.0",
     "slots": "select distinct name, pos, lower(token) as token from classified join ranked using (name_id, pos) where not english",
@@ -262,6 +285,9 @@ from (select name, pos, lower(token) as token, expansion, score from ranked join
 full join entries e using (name, pos, token, expansion)""",
 }
 
+CTES["revised_products"] = CTES["products"].replace("from combined", "from revised_combined")
+CTES["revised"] = CTES["derived"].replace("from products", "from revised_products")
+
 #: query -> SELECT over the expressions above and the driver's tables.
 BODIES: dict[str, str] = {
     "scan_gold": "select distinct p_brand as name, p_name || ' ' || p_type as term from part where p_size > 3",
@@ -273,6 +299,42 @@ from (select distinct upper(p_type) || '.' || upper(replace(p_brand, '#', '')) a
     "scan_relation_text": """
 select distinct upper(p_type) as schema_name, upper(replace(p_brand, '#', '')) as table_name, upper(replace(p_name, ' ', '_')) as column_name from part""",
     "scan_term_text": "select distinct term from large_terms",
+    "format_term_text": "select distinct p_name || ' ' || p_type as value from part where p_size > 3",
+    "scan_relation_file": f"""
+select {_hash("schema_name, table_name, column_name")} as col_id, * from (
+  select distinct upper(p_type) as schema_name, upper(replace(p_brand, '#', '')) as table_name, upper(replace(p_name, ' ', '_')) as column_name from part)""",
+    "scan_term_file": f"select distinct {_hash('term')} as term_id, term from large_terms",
+    "load_vector_text": "select word, cast(len(v) as integer) as dims, round(list_sum(list_transform(v, lambda x: x * x)), 6) as norm2 from vectors",
+    "expand_restricted": "select token, expansion from restricted",
+    "lemma_tokens": f"""
+with lex as (select distinct unnest({_words("lower(text)")}) as form from benchmark),
+lemma_domain as (select distinct unnest(string_split(term, ' ')) as form from gold),
+given as (select distinct replace(term, ' ', '_') as name, string_split(term, ' ') as tokens from large_terms),
+each as (select name, unnest(range(0, len(tokens))) as pos, unnest(tokens) as token from given)
+select name, cast(pos as integer) as pos, token,
+  ((token not like '%s' and token in (select form from lex)) or
+   (token like '%s' and length(token) > 2 and token[:-2] not like '%s' and token[:-2] in (select form from lex)))
+  and (length(token) > 3 or token in (select form from lemma_domain) or token in ({_STOP})) as english
+from each""",
+    "gram_documents": "select name_id, term, p from asked_grams",
+    "match_documents": """
+select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) as f1 from (
+  select tp, fp, fn, tp * 100.0 / nullif(tp + fp, 0) as precision, tp * 100.0 / nullif(tp + fn, 0) as recall from (
+    select count(*) filter (found and is_gold) as tp, count(*) filter (found and not is_gold) as fp,
+           count(*) filter (is_gold and not found) as fn from asked_judged))""",
+    "review_gold_pairs": f"select name, term, p from grams where p >= 0.3 and label order by {_unit(chr(39) + 'review' + chr(39) + ', name, term')}, name, term limit 2",
+    "overall_dictionary": "select distinct token, expansion from dictionary",
+    "windows_dictionary": "select name, token, expansion from dictionary",
+    "rules_documents": """
+select token, phrase as expansion, round(score, 6) as score, cast(row_number() over (partition by token order by score desc, phrase) as integer) as rank
+from (select token, phrase, n / sum(n) over (partition by token) as score
+      from (select token, phrase, count(*) as n from large_uses group by all))""",
+    "dictionary_documents": "select distinct token, phrase as expansion from large_uses",
+    "revise_rules": """
+with was as (select name_id, list(text order by i) as l from derived group by 1),
+now as (select name_id, list(text order by i) as l from revised group by 1)
+select name_id, was.l <> now.l as updated, cast(i as integer) as i, text, round(score, 6) as score
+from revised join was using (name_id) join now using (name_id)""",
     "sink_csv": "select name, cast(to_json(tokens) as varchar) as tokens from names",
     "load_vectors": "select word, cast(len(v) as integer) as dims, round(list_sum(list_transform(v, lambda x: x * x)), 6) as norm2 from vectors",
     "tokenize_names": f"""

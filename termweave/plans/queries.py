@@ -84,6 +84,31 @@ def scan_term_text(t: Tables) -> DataFrame:
     return catalog.scan_term_text(t.spark.read.text(path))
 
 
+def _described(t: Tables) -> DataFrame:
+    """Columns, some with a term."""
+    named = F.when(F.col("p_size") > 3, F.concat_ws(" ", "p_name", "p_type"))
+    return t.read("part").select(F.upper("p_name").alias("column_name"), named.alias("business_term"))
+
+
+@query
+def format_term_text(t: Tables) -> DataFrame:
+    return catalog.format_term_text(_described(t), "business_term")
+
+
+@query
+def scan_relation_file(t: Tables) -> DataFrame:
+    path = scratch(t)
+    catalog.write_lines(catalog.format_relation_text(_relations(t)), path, "RELATIONS")
+    return catalog.scan_relation_file(t.spark, path)
+
+
+@query
+def scan_term_file(t: Tables) -> DataFrame:
+    path = scratch(t)
+    catalog.write_lines(t.large.select(F.col("term").alias("value")), path, "TERMS")
+    return catalog.scan_term_file(t.spark, path)
+
+
 @query
 def sink_csv(t: Tables) -> DataFrame:
     return _csv(t, t.names.select("name", "tokens"))
@@ -94,6 +119,15 @@ def load_vectors(t: Tables) -> DataFrame:
     return t.vectors.select("word", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
 
 
+@query
+def load_vector_text(t: Tables) -> DataFrame:
+    path = scratch(t)
+    t.vectors.select(F.concat_ws(" ", "word", F.array_join(F.col("vector").cast("array<string>"), " ")).alias("value")).write.text(path)
+    head = t.spark.range(1).select(F.lit("1000 64").alias("value"))
+    rows = catalog.load_vector_text(t.spark.read.text(path).unionByName(head))
+    return rows.select("word", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
+
+
 # tokens and expansions
 
 
@@ -134,6 +168,23 @@ def expand_single_word(t: Tables) -> DataFrame:
     return t.single
 
 
+@query
+def expand_restricted(t: Tables) -> DataFrame:
+    return expand.expand_single_word(t.vocabulary, t.words, mode="restricted")
+
+
+@query
+def lemma_tokens(t: Tables) -> DataFrame:
+    """Tokens of all documents' terms against a lexicon without plurals, whose lemmas are a table."""
+    names = catalog.scan_names(t.large.select(F.translate("term", " ", "_").alias("name")), "name")
+    words = t.read("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form")).distinct()
+    tokens = names.select(F.explode("tokens").alias("form")).distinct()
+    plural = tokens.where("form like '%s' and length(form) > 2").select("form", F.expr("substring(form, 1, length(form) - 1)").alias("lemma"))
+    domain = expand.domain_words(t.gold.select(F.col("term").alias("text")))
+    rows = expand.classified_tokens(names, words.where("form not like '%s'"), domain, lemmas=plural)
+    return rows.select("name", "pos", "token", "english")
+
+
 @query
 def expand_acronym(t: Tables) -> DataFrame:
     initials = t.read("benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z ]+")).alias("s"))
@@ -218,8 +269,7 @@ def block_candidates(t: Tables) -> DataFrame:
 def block_documents(t: Tables) -> DataFrame:
     """Blocking of names from the benchmark, each with its own term as derived string, against the
     terms of all documents."""
-    names = t.asked.select(F.col("seg_id").alias("name_id"), "name", F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score"))).alias("derived"))
-    return block.block_candidates(names, catalog.scan_terms(t.large, "term", F.col("seg_id")))
+    return block.block_candidates(t.asked_names.select("name_id", "name", "derived"), catalog.scan_terms(t.large, "term", F.col("seg_id")))
 
 
 @query
@@ -246,6 +296,18 @@ def score_pairs(t: Tables) -> DataFrame:
     return t.features.select("name", "term", *[F.round(c, 6).alias(c) for c in features.FEATURES])
 
 
+@query
+def gram_documents(t: Tables) -> DataFrame:
+    return t.asked_grams.select("name_id", "term", "p")
+
+
+@query
+def score_documents(t: Tables) -> DataFrame:
+    """All features of the pairs that blocking finds in the documents."""
+    rows = features.score_pairs(t.asked_pairs)
+    return rows.select("name_id", "term", *[F.round(c, 6).alias(c) for c in features.FEATURES])
+
+
 @query
 def score_incremental(t: Tables) -> DataFrame:
     """A later round: a third of the pairs is new, another third's derived strings changed."""
@@ -333,6 +395,19 @@ def review_pairs(t: Tables) -> DataFrame:
     return evaluate.review_pairs(t.grams, "p", 0.3).select("name", "term", "p")
 
 
+@query
+def review_gold_pairs(t: Tables) -> DataFrame:
+    return evaluate.review_pairs(t.grams, "p", 0.3, gold=True).select("name", "term", "p")
+
+
+@query
+def match_documents(t: Tables) -> DataFrame:
+    """Precision and recall where a name from the benchmark matches the documents' terms by 3-grams."""
+    found = t.asked_grams.select("name", "term", (F.col("p") > 0.5).alias("match"))
+    rows = evaluate.match_report(found, t.asked_gold)
+    return rows.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query
 def training_report(t: Tables) -> DataFrame:
     return evaluate.training_report(learn.gold_seeds(t.grams), t.grams)
@@ -389,6 +464,29 @@ def expansion_dictionary(t: Tables) -> DataFrame:
     return feedback.expansion_dictionary(t.uses)[0]
 
 
+@query
+def overall_dictionary(t: Tables) -> DataFrame:
+    return feedback.expansion_dictionary(t.uses)[1]
+
+
+@query
+def windows_dictionary(t: Tables) -> DataFrame:
+    """The names' own dictionary where alignments score their windows, not the words in them."""
+    pairs = t.gold.join(t.names.select("name", "tokens"), "name").join(t.terms.select("term", F.col("tokens").alias("term_tokens")), "term")
+    return feedback.expansion_dictionary(feedback.abbreviation_uses(pairs, scoring="windows"))[0]
+
+
+@query
+def rules_documents(t: Tables) -> DataFrame:
+    """Rewrite rules from the abbreviations in all terms of the documents."""
+    return feedback.rewrite_rules(t.large_uses).select("token", "expansion", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dictionary_documents(t: Tables) -> DataFrame:
+    return feedback.expansion_dictionary(t.large_uses)[1]
+
+
 def _some_dictionary(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Entries of a third of the names, and the overall ones."""
     local, overall = feedback.expansion_dictionary(t.kept(t.uses))

@@ -31,6 +31,33 @@ def scan_terms(table: DataFrame, term: str, term_id: Column | None = None) -> Da
     return terms.select(key.alias("term_id"), F.col(term).alias("term"), tokenize(F.col(term)).alias("tokens"))
 
 
+#: A text file is a CSV file of one column: no separator, and no quotes.
+_LINES = {"header": True, "sep": "\u0001", "quote": "", "escape": ""}
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of text files whose first line is a title, which is left out; so are empty lines."""
+    return spark.read.schema("value string").options(**_LINES).csv(path)
+
+
+def write_lines(lines: DataFrame, path: str, title: str) -> None:
+    """Write the lines of column value; every file begins with the title."""
+    # lines that begin with the comment character would be quoted
+    space = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "comment": "\u0002"}
+    lines.select(F.col("value").alias(title)).write.mode("overwrite").options(**_LINES, **space).csv(path)
+
+
+def scan_relation_file(spark: SparkSession, path: str) -> DataFrame:
+    """scan_relation_text of files with a title line; col_id depends on the column's full name alone."""
+    rows = scan_relation_text(read_lines(spark, path))
+    return rows.select(long_hash(F.col("schema_name"), F.col("table_name"), F.col("column_name")).alias("col_id"), *rows.columns)
+
+
+def scan_term_file(spark: SparkSession, path: str) -> DataFrame:
+    """scan_term_text of files with a title line; term_id depends on the term alone."""
+    return scan_term_text(read_lines(spark, path)).select(long_hash(F.col("term")).alias("term_id"), "term")
+
+
 def scan_relation_text(lines: DataFrame) -> DataFrame:
     """(schema_name, table_name, column_name) from lines ``schema.table(c1, c2)`` in column value."""
     parts = F.filter(F.split("value", r"[.(), ]"), lambda x: x != "")
@@ -53,6 +80,11 @@ def format_relation_text(columns: DataFrame) -> DataFrame:
     return grouped.select(F.concat("prefix", F.lit("("), F.array_join("names", ", "), F.lit(")")).alias("value"))
 
 
+def format_term_text(columns: DataFrame, term: str) -> DataFrame:
+    """The distinct terms of a table of columns, a line each; columns without a term give none."""
+    return columns.where(F.col(term).isNotNull()).select(F.col(term).alias("value")).distinct()
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """df with arrays and structs as JSON text."""
     nested = ("array", "struct", "map")

@@ -107,6 +107,14 @@ def with_outputs(docs: DataFrame, keep: list[Column], text: Column, outputs: dic
     return per_document(rows, ", ".join(kinds), build, "__text")
 
 
+def unclashed(id_col: str, carry: tuple[str, ...], outputs: tuple[str, ...]) -> None:
+    """An error that names them where the id or carried columns have the name of an output, or of one another."""
+    given = [c.lower() for c in (id_col, *carry)]
+    taken = sorted({c for c in given if given.count(c) > 1 or c in {o.lower() for o in outputs}})
+    if taken:
+        raise ValueError(f"carried columns must have other names than the id and the outputs: {', '.join(taken)}")
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole runs of rows with an equal key, from batches that are sorted by it."""
     held: list[pa.RecordBatch] = []

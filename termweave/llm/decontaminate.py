@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_be_in, with_outputs, written
+from .common import may_be_in, unclashed, with_outputs, written
 from .wordhash import byte_values, span_hashes, word_bounds
 
 #: Bytes that are in no word: fixed values, the class [\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -197,8 +197,9 @@ def decontaminate(
     nothing; an item with a null id hits words but is in no list; rows that share an item id are
     one item. The benchmark is searched in blocks of about block_bytes of text, a bound on what the
     driver builds and a task holds: each block but the last is a job of its own that writes what it
-    finds, a row a text that is hit.
+    finds, a row a text that is hit. carry may not name an output.
     """
+    unclashed(id_col, carry, ("n_words", "n_hit", "items", "hit_spans"))
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

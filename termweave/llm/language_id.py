@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_document, record, utf8, with_outputs
+from .common import fold, per_document, record, unclashed, utf8, with_outputs
 from .sampling import hash_sample
 from .wordhash import byte_values, mixed, span_hashes
 
@@ -263,8 +263,9 @@ def identify_language(
     score is it. Null texts, and texts without a letter, are "und" with score 0. Training rows are
     those of labelled (docs itself by default) with a language, whose crc32 of the id modulo
     ``modulus`` is not ``remainder``; with none at all lang_pred is null where it is not "und".
-    text_output names a column that keeps the text.
+    text_output names a column that keeps the text. carry may not name an output.
     """
+    unclashed(id_col, carry + ((text_output,) if text_output else ()), ("lang_pred", "score", "shares"))
     spans = training_spans(docs if labelled is None else labelled, id_col, text_col, lang_col, modulus, remainder, train_docs)
     model = docs.sparkSession.sparkContext.broadcast(fit(spans) if spans else None)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_document, record, utf8, with_outputs
+from .common import fold, per_document, record, unclashed, utf8, with_outputs
 from .sampling import hash_sample
 from .wordhash import byte_values, mixed, span_hashes, word_bounds
 
@@ -150,8 +150,9 @@ def quality_score(
     score is the weighted share of label 1 among the nearest labelled documents; a null, empty or
     wordless text gets the share of label 1 in the sample. Labels train only where the crc32 of
     their id modulo ``modulus`` is not ``remainder``; a row that is labelled twice counts as 0 if
-    any label is. With no labels every score is 0.5.
+    any label is. With no labels every score is 0.5. carry may not name an output.
     """
+    unclashed(id_col, carry, ("score", "predicted"))
     profiles, y = labelled_profiles(docs, labels, id_col, text_col, label_id_col, label_col, modulus, remainder, train_docs)
     some = [i for i, (s, _) in enumerate(profiles) if len(s)]
     space = fit([profiles[i] for i in some], y[some], rank) if some else None

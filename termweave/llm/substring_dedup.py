@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bits_for, give_back, in_bitmap, materialised, per_document, record, steps, utf8, written
+from .common import bitmap, bits_for, give_back, in_bitmap, materialised, per_document, record, steps, unclashed, utf8, written
 from .wordhash import ascii_words, byte_values, gram_hashes, sliding_min, span_hashes, word_bounds
 
 #: Two independent word hashes; a frequent window is named by both, 128 bits in all.
@@ -291,6 +291,7 @@ def substring_dedup(
     kept_text is the words not covered by a repeated window, joined by one space ("" for a null
     or empty text). carry names columns of docs to hand through; it may not name an output.
     """
+    unclashed(id_col, carry, ("kept_text", "n_words", "n_removed"))
     spans = repeated_spans(docs, id_col, text_col, **options)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     rows = docs.select(F.col(id_col).alias("__id"), *[F.col(c) for c in carry], F.col(text_col).alias("__text"))

@@ -60,8 +60,12 @@ def matching_tokens(tokens: Column, words: list[str] = MATCH_STOP_WORDS) -> Colu
 
 def is_subsequence(x: Column, y: Column) -> Column:
     """Whether the characters of x stand in y in this order."""
-    escaped = F.transform(F.split(x, ""), lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c))
-    return F.call_function("like", y, F.concat(F.lit("%"), F.array_join(escaped, "%"), F.lit("%")))
+    # the place of every character behind the one before it; -1 from where there is none
+    def step(at: Column, c: Column) -> Column:
+        place = F.call_function("locate", c, y, at + 1)
+        return F.when((at < 0) | (place == 0), -1).otherwise(place)
+
+    return F.when(x == "", True).otherwise(F.aggregate(F.split(x, ""), F.lit(0), step) >= 0) & y.isNotNull()
 
 
 def is_restricted_subsequence(x: Column, y: Column) -> Column:

@@ -81,11 +81,16 @@ def phrase_windows(corpus: DataFrame, vocabulary: DataFrame, max_words: int, sto
 
 def expand_single_word(vocabulary: DataFrame, words: DataFrame, mode: str = "plain") -> DataFrame:
     """(token, expansion): longer domain words with the token's first letter that contain it as a
-    subsequence (mode "restricted": see is_restricted_subsequence). The join key is the first letter and the token's second character, met by every
-    word under each of its later characters."""
-    short = vocabulary.select("token", F.substring("token", 1, 1).alias("a"), F.substring("token", 2, 1).alias("b"))
-    later = F.array_distinct(F.array_append(F.split(F.expr("substring(word, 2)"), ""), F.lit("")))
-    long = words.select("word", F.substring("word", 1, 1).alias("a"), F.explode(later).alias("b"))
+    subsequence (mode "restricted": see is_restricted_subsequence). The join key is the first letter and
+    the token's second and third characters, met by every word under each two of its later ones that
+    stand in this order: what follows the first place of a character follows it anywhere."""
+    short = vocabulary.select("token", F.substring("token", 1, 1).alias("a"), F.substring("token", 2, 2).alias("b"))
+    rest = F.expr("substring(word, 2)")
+    later = F.array_distinct(F.split(rest, ""))
+    behind = lambda c: F.array_distinct(F.split(F.substring(rest, F.call_function("locate", c, rest) + 1, F.length(rest)), ""))
+    twos = F.flatten(F.transform(later, lambda c: F.transform(behind(c), lambda d: F.concat(c, d))))
+    keys = F.array_distinct(F.concat(twos, later, F.array(F.lit(""))))
+    long = words.select("word", F.substring("word", 1, 1).alias("a"), F.explode(keys).alias("b"))
     fits = (F.length("token") < F.length("word")) & is_subsequence(F.col("token"), F.col("word"))
     if mode == "restricted":
         fits = fits & is_restricted_subsequence(F.col("token"), F.col("word"))

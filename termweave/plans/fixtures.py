@@ -79,12 +79,17 @@ class Tables:
         own = F.array(F.struct(F.col("term").alias("text"), F.lit(1.0).alias("score")))
         return self.asked.select(F.col("seg_id").alias("name_id"), "name", tokenize(F.col("name")).alias("tokens"), own.alias("derived"))
 
+    @cached_property
+    def all_terms(self) -> DataFrame:
+        """(term): the distinct terms of the benchmark and all documents."""
+        return self.kept(self.large.select("term").union(self.asked.select("term")).distinct())
+
     @cached_property
     def asked_pairs(self) -> DataFrame:
         """(name_id, name, tokens, derived, derived_grams, term_id, term, term_tokens): blocking of the
-        names from the benchmark against the terms of all documents, every distinct term once a name."""
+        names from the benchmark against its own terms and those of all documents."""
         names = self.asked_names
-        found = block.block_candidates(names.select("name_id", "name", "derived"), catalog.scan_terms(self.large, "term"))
+        found = block.block_candidates(names.select("name_id", "name", "derived"), catalog.scan_terms(self.all_terms, "term"))
         found = self.kept(found.dropDuplicates(["name_id", "term_id"]))
         grams = names.select("name_id", "tokens", "derived", features.name_grams(F.col("derived")).alias("derived_grams"))
         return found.join(grams, "name_id").withColumn("term_tokens", tokenize(F.col("term")))
@@ -95,6 +100,22 @@ class Tables:
         best = features.gram_similarity(F.col("derived_grams"), features.term_grams(F.col("term_tokens")))
         return self.kept(self.asked_pairs.select("name_id", "name", "term_id", "term", F.round(best, 6).alias("p")))
 
+    @cached_property
+    def asked_labelled(self) -> DataFrame:
+        """asked_grams with label: whether the term is the name's own."""
+        return self.kept(evaluate.label_from_gold(self.asked_grams, self.asked_gold))
+
+    @cached_property
+    def large_words(self) -> DataFrame:
+        return self.kept(expand.domain_words(self.spread("documents")))
+
+    @cached_property
+    def large_classified(self) -> DataFrame:
+        """Tokens of all documents' names, against the benchmark's words as lexicon."""
+        words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+        lexicon = self.read("benchmark").select(F.explode(words).alias("form")).distinct()
+        return self.kept(expand.classified_tokens(catalog.scan_names(self.large, "name"), lexicon, self.large_words))
+
     @cached_property
     def large_uses(self) -> DataFrame:
         """(name, token, phrase): the abbreviations in all terms of the documents."""

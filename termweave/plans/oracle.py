@@ -236,10 +236,22 @@ select name_id, pos, expansion, score, r.rank from (select name_id, pos, lower(t
     "revised_combined": "select * from combined anti join ruled using (name_id, pos) union all select * from ruled",
     "asked_pairs": f"""
 select distinct name_id, name, own, term from (select seg_id as name_id, name, term as own, unnest(string_split(term, ' ')) as token from asked)
-join large_index using (token) where token in (select token from large_index group by 1 having count(*) < 300)""",
+join all_index using (token) where token in (select token from all_index group by 1 having count(*) < 300)""",
+    "all_terms": "select term from large_terms union select term from asked",
+    "all_index": f"select * from (select distinct unnest(string_split(term, ' ')) as token, term from all_terms) where token not in ({_STOP})",
     "asked_sets": f"select name_id, name, term, {_grams('own')} as a, {_grams('term')} as b from asked_pairs",
     "asked_grams": """
 select name_id, name, term, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) as p from asked_sets""",
+    "asked_labelled": f"""
+select a.name_id, a.name, {_hash("a.term")} as term_id, a.term, p, g.term is not null as label
+from asked_grams a left join (select distinct name, term from asked) g on a.name = g.name and a.term = g.term""",
+    "doc_words": "select distinct word from (select lower(unnest(string_split_regex(text, '[/. ,&()_-]'))) as word from documents) where word <> ''",
+    "doc_tokens": f"""
+select name, pos, token, lower(token) in (select form from bench_words)
+  and (length(token) > 3 or lower(token) in (select word from doc_words) or lower(token) in ({_STOP})) as english
+from (select name, unnest(range(0, len(tokens))) as pos, unnest(tokens) as token from large_names)""",
+    "bench_words": f"select distinct unnest({_words('lower(text)')}) as form from benchmark",
+    "doc_vocabulary": "select distinct lower(token) as token from doc_tokens where not english",
     "asked_judged": """
 select m.name is not null as found, g.name is not null as is_gold
 from (select distinct name, term from asked_grams where p > 0.5) m full join (select distinct name, term from asked) g on m.name = g.name and m.term = g.term""",
@@ -317,6 +329,33 @@ select name, cast(pos as integer) as pos, token,
   and (length(token) > 3 or token in (select form from lemma_domain) or token in ({_STOP})) as english
 from each""",
     "gram_documents": "select name_id, term, p from asked_grams",
+    "noisy_documents": """
+select name, string_agg(case when english then token else '_' end, ' ' order by pos) as english_tokens,
+  coalesce(string_agg(token, ' ' order by pos) filter (not english), '') as noisy_tokens from doc_tokens group by name""",
+    "expand_documents": """
+select token, word as expansion from doc_vocabulary join doc_words on substr(token, 1, 1) = substr(word, 1, 1)
+where length(token) < length(word) and contains(word, substr(token, 2, 1)) and contains(word, substr(token, 3, 1)) and contains(word, substr(token, -1))
+  and word like '%' || array_to_string(string_split(token, ''), '%') || '%'""",
+    "blocking_documents": """
+select (select count(*) from asked_pairs) as pairs,
+  round((select count(*) from asked_pairs) / ((select count(*) from asked) * cast((select count(*) from all_terms) as double)), 9) as ratio,
+  round((select count(*) from (select distinct name, term from asked) semi join asked_pairs using (name, term))
+    / cast((select count(*) from (select distinct name, term from asked)) as double), 9) as recall""",
+    "label_documents": "select name_id, term, label from asked_labelled",
+    "uncertain_documents": f"""
+select name_id, term_id, round(entropy, 6) as entropy from (
+  select *, case when entropy > 0 then -ln(greatest({_unit("'round', name_id, term_id")}, 1e-16)) / entropy end as key from (
+    select name_id, term_id, case when p > 0 and p < 1 then -p * log2(p) - (1 - p) * log2(1 - p) else 0.0 end as entropy from asked_labelled)
+  order by round(entropy, 9) desc, name_id, term_id limit 100)
+order by key nulls last, name_id, term_id limit 10""",
+    "seeds_documents": f"""
+select name_id, term_id, false as label from asked_labelled where p < 0.8 order by {_unit("'negative', name_id, term_id")}, name_id, term_id
+limit (select count(*) from asked_labelled where p >= 0.8)""",
+    "eval_documents": """
+select coalesce(m.name, g.name) as name, coalesce(m.term, g.term) as term,
+  case when match and g.name is not null then 'TP' when match then 'FP' when g.name is not null then 'FN' else 'TN' end as score_eval
+from (select distinct name, term, p > 0.5 as match from asked_grams) m
+full join (select distinct name, term from asked) g on m.name = g.name and m.term = g.term""",
     "match_documents": """
 select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) as f1 from (
   select tp, fp, fn, tp * 100.0 / nullif(tp + fp, 0) as precision, tp * 100.0 / nullif(tp + fn, 0) as recall from (

@@ -168,6 +168,18 @@ def expand_single_word(t: Tables) -> DataFrame:
     return t.single
 
 
+@query
+def noisy_documents(t: Tables) -> DataFrame:
+    rows = expand.noisy_tokens(t.large_classified)
+    return rows.select("name", text_of("english_tokens").alias("english_tokens"), text_of("noisy_tokens").alias("noisy_tokens"))
+
+
+@query
+def expand_documents(t: Tables) -> DataFrame:
+    """Every noisy token of the documents' names with all words of the documents that it can stand for."""
+    return expand.expand_single_word(expand.noisy_vocabulary(t.large_classified), t.large_words)
+
+
 @query
 def expand_restricted(t: Tables) -> DataFrame:
     return expand.expand_single_word(t.vocabulary, t.words, mode="restricted")
@@ -283,6 +295,17 @@ def label_from_gold(t: Tables) -> DataFrame:
     return t.labelled.select("name", "term", "label")
 
 
+@query
+def blocking_documents(t: Tables) -> DataFrame:
+    rows = block.blocking_stats(t.asked_grams, t.asked_gold, t.asked.count(), t.all_terms.count())
+    return rows.select("pairs", F.round("ratio", 9).alias("ratio"), F.round("recall", 9).alias("recall"))
+
+
+@query
+def label_documents(t: Tables) -> DataFrame:
+    return t.asked_labelled.select("name_id", "term", "label")
+
+
 # features
 
 
@@ -341,6 +364,18 @@ def uncertain_pairs(t: Tables) -> DataFrame:
     return learn.uncertain_pairs(t.grams).select("name_id", "term_id", F.round("entropy", 6).alias("entropy"))
 
 
+@query
+def uncertain_documents(t: Tables) -> DataFrame:
+    return learn.uncertain_pairs(t.asked_labelled).select("name_id", "term_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query
+def seeds_documents(t: Tables) -> DataFrame:
+    """As many pairs that are no match as there are pairs alike by their 3-grams."""
+    alike = t.asked_labelled.where("p >= 0.8").select("name_id", "term_id")
+    return learn.negative_seeds(t.asked_labelled, alike, alike.count())
+
+
 @query
 def fit_predict(t: Tables) -> DataFrame:
     vectors = t.kept(learn.assembled(t.features))
@@ -408,6 +443,12 @@ def match_documents(t: Tables) -> DataFrame:
     return rows.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query
+def eval_documents(t: Tables) -> DataFrame:
+    found = t.asked_labelled.select("name", "term", (F.col("p") > 0.5).alias("match")).distinct()
+    return evaluate.score_eval(found, t.asked_gold).select("name", "term", "score_eval")
+
+
 @query
 def training_report(t: Tables) -> DataFrame:
     return evaluate.training_report(learn.gold_seeds(t.grams), t.grams)

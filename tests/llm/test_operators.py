@@ -189,6 +189,24 @@ def test_top_k_of_few_repeated_and_missing_rows(spark):
     assert top_k_search(v, v.limit(0), cell_rows=1).count() == 0
 
 
+def test_top_k_of_clusters_scores_few_blocks(spark):
+    """Rows come in no order and one cluster has a third of them; cells out of reach aren't sent or scored."""
+    rng = np.random.default_rng(5)
+    cluster = np.where(rng.random(1200) < 0.3, 0, rng.integers(0, 12, 1200))
+    x = rng.normal(size=(12, 24))[cluster] * 4 + rng.normal(size=(1200, 24)) * 0.2
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    count = spark.sparkContext.accumulator(0)
+    got = top_k_search(v, v.where("vec_id % 50 = 0"), block_rows=16, cell_rows=64, group_rows=8, count=count)
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect())
+    ints = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 1200, 50):
+        order = sorted((-int(ints[q] @ ints[i]), i) for i in range(1200) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order)]
+    assert found == sorted(want)
+    assert 0 < count.value < 24 * (1200 // 16) / 3
+
+
 def test_floors_leave_blocks_of_other_clusters_unscored():
     rng = np.random.default_rng(3)
     centres = 100 * np.eye(8)

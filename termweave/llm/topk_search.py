@@ -129,9 +129,10 @@ def _index_cell(block_rows: int):
 
 
 def _reached(extremes: pa.Table, queries: pa.Table) -> pa.Table:
-    """(query, cell, home) of the cells, but a query's home, whose bound reaches the query's floor."""
+    """(query, cell, home), once each, of the cells, but a query's home, whose bound reaches the query's floor."""
+    names = ["query", "cell", "home"]
     if not extremes.num_rows or not queries.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["query", "cell", "home"])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=names)
     ends = _unpacked(extremes["terms"].to_pylist(), extremes["size"].to_pylist(), extremes["rows"].to_pylist())
     rows = _unpacked(queries["terms"].to_pylist(), queries["size"].to_pylist())
     width = max(m.shape[1] for m in [*ends, *rows])
@@ -141,10 +142,8 @@ def _reached(extremes: pa.Table, queries: pa.Table) -> pa.Table:
     floor = queries["floor"].fill_null(-np.inf).to_numpy()
     cells, home = extremes["cell"].to_numpy(), queries["home"].to_numpy()
     q, c = np.nonzero((bounds >= floor[:, None]) & (cells[None, :] != home[:, None]))
-    return pa.table(
-        [pa.array(queries["query"].to_numpy()[q]), pa.array(cells[c], pa.int32()), pa.array(home[q], pa.int32())],
-        names=["query", "cell", "home"],
-    )
+    found = [pa.array(queries["query"].to_numpy()[q]), pa.array(cells[c], pa.int32()), pa.array(home[q], pa.int32())]
+    return pa.table(found, names=names).group_by(names).aggregate([]).select(names)
 
 
 def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -258,9 +257,9 @@ def top_k_search(
     def group(count: int) -> Column:
         return F.pmod(F.xxhash64("query"), F.lit(count)).cast("int").alias("grp")
 
-    def searched(asked: DataFrame) -> DataFrame:
-        """Scores of the queries (query, terms, size, floor, cell, grp) in their cells; blocks go to groups with a query."""
-        wanted = asked.select("cell", F.col("grp").alias("to")).distinct()
+    def searched(asked: DataFrame, places: DataFrame) -> DataFrame:
+        """Scores of the queries (query, terms, size, floor, cell, grp) in their cells; blocks go to the groups of places."""
+        wanted = places.select("cell", group(groups).alias("to")).distinct()
         return (
             blocks.join(wanted, "cell").groupBy("cell", "to").cogroup(asked.groupBy("cell", "grp"))
             .applyInArrow(_search(k, count), "query_id long, vec_id long, score long")
@@ -269,7 +268,8 @@ def top_k_search(
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     no_floor = F.lit(None).cast("double").alias("floor")
     # a home may be that of a third of the queries, so that groups are of all queries here too
-    found = searched(asked.select("query", "terms", "size", no_floor, F.col("home").alias("cell"), group(groups)))
+    at_home = asked.select("query", "terms", "size", no_floor, F.col("home").alias("cell"), group(groups))
+    found = searched(at_home, asked.select("query", F.col("home").alias("cell")))
     found = found.withColumn("rank", rank).where(F.col("rank") <= k)
     if cells > 1:
         found = materialised(found)
@@ -281,7 +281,8 @@ def top_k_search(
         ends = index.where("block < 0").select("cell", "rows", "terms", "size", chunk, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
         at_ends = asked.select("*", group(groups), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
         near = ends.groupBy("chunk", "grp").cogroup(at_ends.groupBy("chunk", "grp")).applyInArrow(_reached, "query long, cell int, home int")
-        abroad = asked.join(near.distinct(), ["query", "home"]).select("query", "terms", "size", "floor", "cell", group(groups))
-        found = found.drop("rank").unionByName(searched(materialised(abroad)))
+        near = materialised(near)
+        abroad = asked.join(near, ["query", "home"]).select("query", "terms", "size", "floor", "cell", group(groups))
+        found = found.drop("rank").unionByName(searched(abroad, near))
         found = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from termweave.operators import align, feedback
@@ -63,3 +64,34 @@ def test_a_term_is_abbreviated_as_its_words(spark):
     each = F.array_join(F.transform(F.split(term, " "), abbreviated), "_")
     row = spark.range(1).select(abbreviated_term(term).alias("a"), each.alias("b")).first()
     assert row.a == row.b
+
+
+def test_expansions_look_for_a_beginning_once(monkeypatch):
+    from termweave.operators import expand
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcé", k=rng.randint(1, 8))) for _ in range(400)})
+    tokens = ["ab" + x + y for x in "abcé" for y in "abcé"]
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(expand.np, "searchsorted", lambda *a: calls.append(a) or search(*a))
+    within = lambda x, y: (rest := iter(y)) and all(c in rest for c in x)
+    got = {(t, words[i]) for t, rows in expand._containing(tokens, words) for i in rows.tolist()}
+    assert got == {(t, w) for t in tokens for w in words if len(t) < len(w) and t[0] == w[0] and within(t, w)} and got
+    assert len(calls) == 1 + 4 + 16
+    assert [r.tolist() for _, r in expand._containing(["a"], [])] == [[]]
+
+
+def test_expansions_in_many_groups(spark, monkeypatch):
+    from termweave.operators import expand
+
+    monkeypatch.setattr(expand, "GROUP_TOKENS", 7)
+    monkeypatch.setattr(expand, "GROUP_WORDS", 11)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("ab\N{MUSICAL SYMBOL G CLEF}", k=rng.randint(1, 7))) for _ in range(120)] + [None, ""]
+    tokens = ["".join(rng.choices("ab\N{MUSICAL SYMBOL G CLEF}", k=rng.randint(1, 4))) for _ in range(60)] + [None, ""]
+    found = expand.expand_single_word(
+        spark.createDataFrame([(x,) for x in tokens], "token string"), spark.createDataFrame([(x,) for x in words], "word string")
+    )
+    within = lambda x, y: (rest := iter(y)) and all(c in rest for c in x)
+    want = {(t, w) for t in tokens for w in words if t and w and len(t) < len(w) and t[0] == w[0] and within(t, w)}
+    assert rows_of(found) == sorted(want)

@@ -106,3 +106,10 @@ def test_three_epochs(spark):
     got = epoch_loop(t, epochs=3, rounds=1)
     assert {r[0] for r in got.select("score_eval").distinct().collect()} <= {"TP", "FP", "FN", "TN"}
     assert t.gold.join(got, ["name", "term"], "left_anti").count() == 0
+
+
+def test_a_forest_carries_no_session(spark, scored):
+    model = learn.fit_forest(learn.assembled(scored).join(scored.select(*learn.PAIR, "label"), learn.PAIR))
+    made = spark._jvm.java.io.ByteArrayOutputStream()
+    spark._jvm.java.io.ObjectOutputStream(made).writeObject(model._java_obj)
+    assert not model.hasSummary and b"SparkSession" not in bytes(made.toByteArray())

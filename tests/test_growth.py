@@ -95,3 +95,52 @@ def test_expansions_in_many_groups(spark, monkeypatch):
     within = lambda x, y: (rest := iter(y)) and all(c in rest for c in x)
     want = {(t, w) for t in tokens for w in words if t and w and len(t) < len(w) and t[0] == w[0] and within(t, w)}
     assert rows_of(found) == sorted(want)
+
+
+def test_words_are_distinct_within_their_term(spark):
+    from termweave.operators import block
+
+    rows = [("The Cust cust ADDR", ["The", "Cust", "cust", "ADDR"]), ("9 addr _", ["9", "addr", "_"]), ("none", []), ("empty", [])]
+    terms = spark.createDataFrame(rows, "term string, tokens array<string>")
+    assert rows_of(block.index_tokens(terms, once=True)) == rows_of(block.index_tokens(terms))
+    plan = block.index_tokens(terms, once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_blocking_counts_only_words_that_are_asked(spark):
+    from termweave.operators import block
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)] + ["the", "9a"]
+    texts = sorted({" ".join(rng.choices(words, weights=[1 + 40 * (i < 3) for i in range(32)], k=4)) for _ in range(500)})
+    terms = spark.createDataFrame([(i, x, x.split(" ")) for i, x in enumerate(texts)], "term_id long, term string, tokens array<string>")
+    names = [(i, f"n{i}", [(" ".join(rng.choices([*words, "absent"], k=3)), 1.0)]) for i in range(40)]
+    asked = spark.createDataFrame(names, "name_id long, name string, derived array<struct<text:string,score:double>>")
+    df = Counter(w for x in texts for w in set(x.split(" ")))
+    cap = sorted(df.values())[-4]
+    usable = {w for w in df if df[w] < cap and w[0].isalpha() and w != "the"}
+    want = sorted((n, m, i, x) for n, m, d in names for i, x in enumerate(texts) if usable & set(x.split(" ")) & set(d[0][0].split(" ")))
+    assert want and rows_of(block.block_candidates(asked, terms, cap=cap, once=True)) == want
+    twice = terms.unionByName(terms.select((F.col("term_id") + 1000).alias("term_id"), "term", "tokens"))
+    both = sorted(want + [(n, m, i + 1000, x) for n, m, i, x in want])
+    assert rows_of(block.block_candidates(asked, twice, cap=cap)) == both
+
+
+def test_plain_names_are_split(spark):
+    from termweave.functions import names
+
+    texts = ["AB_CD", "ab cd", "A", "a_b c", "AB__CD", "Ab_cd", "ab_", "_ab", "ab-cd", "007_ab", "", "AB_cd", "éa b", "ab  cd", "ab\n", "a b"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = rows.select("x", names.tokenize(F.col("x")).alias("a"), names._searched(F.col("x")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len(got) == len(texts)
+
+
+def test_names_are_judged_without_a_shuffle_of_their_tokens(spark):
+    from termweave.operators import expand
+
+    names = spark.createDataFrame([(1, "a", ["Cust", "of", "xq", "zz"]), (2, "b", ["order", "xq"])], "name_id long, name string, tokens array<string>")
+    lexicon = spark.createDataFrame([("cust",), ("of",), ("xq",), ("zz",)], "form string")
+    got = expand.classified_tokens(names, lexicon, spark.createDataFrame([("xq",), ("order",)], "word string"))
+    want = [(1, "a", 0, "Cust", True), (1, "a", 1, "of", True), (1, "a", 2, "xq", True), (1, "a", 3, "zz", False), (2, "b", 0, "order", False), (2, "b", 1, "xq", True)]
+    assert rows_of(got) == want
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()

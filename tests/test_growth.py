@@ -144,3 +144,60 @@ def test_names_are_judged_without_a_shuffle_of_their_tokens(spark):
     want = [(1, "a", 0, "Cust", True), (1, "a", 1, "of", True), (1, "a", 2, "xq", True), (1, "a", 3, "zz", False), (2, "b", 0, "order", False), (2, "b", 1, "xq", True)]
     assert rows_of(got) == want
     assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def asked_and_texts(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)] + ["the", "9a"]
+    texts = sorted({" ".join(rng.choices(words, weights=[1 + 40 * (i < 3) for i in range(32)], k=4)) for _ in range(500)})
+    names = [(i, f"n{i}", [(" ".join(rng.choices([*words, "absent"], k=3)), 1.0)]) for i in range(40)]
+    df = Counter(w for x in texts for w in set(x.split(" ")))
+    cap = sorted(df.values())[-4]
+    usable = {w for w in df if df[w] < cap and w[0].isalpha() and w != "the"}
+    want = sorted((n, m, x) for n, m, d in names for x in texts if usable & set(x.split(" ")) & set(d[0][0].split(" ")))
+    return names, texts, cap, want
+
+
+def test_terms_without_ids_are_distinct(spark):
+    from termweave.operators import block
+
+    names, texts, cap, want = asked_and_texts(12)
+    asked = spark.createDataFrame(names, "name_id long, name string, derived array<struct<text:string,score:double>>")
+    rows = [(x, x.upper().split(" ")) for x in texts for _ in range(1 + len(x) % 3)] + [(None, None), ("", [])]
+    terms = spark.createDataFrame(rows, "term string, tokens array<string>").repartition(3)
+    for part in (None, terms.where("length(term) > 8"), terms.limit(0), terms):
+        assert rows_of(block.block_candidates(asked, terms, cap=cap, part=part)) == want
+    assert want
+
+
+def test_tokens_of_all_terms_are_made_once(spark):
+    from termweave.operators import block
+
+    names, texts, cap, want = asked_and_texts(13)
+    made = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        made.add(1)
+        return text.split(" ")
+
+    asked = spark.createDataFrame(names, "name_id long, name string, derived array<struct<text:string,score:double>>")
+    terms = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "term_id long, term string").withColumn("tokens", F.udf(split, "array<string>")("term"))
+    found = block.block_candidates(asked, terms, cap=cap, once=True).drop("term_id")
+    assert rows_of(found) == want and want
+    assert made.value < 1.5 * len(texts)
+
+
+def test_segments_are_found_in_texts_as_they_are(spark):
+    import re
+
+    from termweave.plans.fixtures import segments
+
+    texts = ["", None, "123 -- !", "One", "a b c d e f", "A1b2C3d4E5f6g7 h", "état naïve İstanbul\nline\ttab  two", " lead and trail. ", "x " * 40]
+    rows = segments(spark.createDataFrame([*enumerate(texts)], "id long, text string"), "id")
+    want = []
+    for text in texts:
+        words = re.findall("[a-z]+", (text or "").lower())
+        want += [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    assert sorted(r.term for r in rows.collect()) == sorted(want) and len({r.seg_id for r in rows.collect()}) == len(want)
+    # no array is cut word by word
+    assert "lambda" not in rows.select("term")._jdf.queryExecution().optimizedPlan().toString()

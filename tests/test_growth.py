@@ -187,6 +187,25 @@ def test_tokens_of_all_terms_are_made_once(spark):
     assert made.value < 1.5 * len(texts)
 
 
+def test_gram_sets_are_made_once_a_pair(spark):
+    from termweave.functions import names
+    from termweave.operators import features
+
+    texts = ["", "a", "ab", "blue anvil", "aaaa", "\N{MUSICAL SYMBOL G CLEF}éx", None]
+    grams = lambda x: {f"##{x}$$"[i : i + 3] for i in range(len(x) + 2)}
+    rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    sets = rows.select("x", "y", names.trigrams(F.col("x")).alias("a"), names.trigrams(F.col("y")).alias("b"))
+    got = sets.select("x", "y", "a", features.gram_similarity(F.array("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        assert r.a is None if r.x is None else (set(r.a) == grams(r.x) and len(set(r.a)) == len(r.a))
+        want = 0.0 if r.x is None or r.y is None else len(grams(r.x) & grams(r.y)) / len(grams(r.x) | grams(r.y))
+        assert abs(r.p - want) < 1e-12
+    # what makes a text or a set stands in the plan once, not beside every place or string
+    plan = lambda c: rows.select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(names.trigrams(F.reverse("x"))).count("reverse(x") == plan(F.reverse("x").alias("c")).count("reverse(x") + 1
+    assert plan(features.gram_similarity(F.array(F.array("x")), F.array(F.reverse("y"))).alias("c")).count("reverse(y") == 1
+
+
 def test_segments_are_found_in_texts_as_they_are(spark):
     import re
 

@@ -220,3 +220,26 @@ def test_segments_are_found_in_texts_as_they_are(spark):
     assert sorted(r.term for r in rows.collect()) == sorted(want) and len({r.seg_id for r in rows.collect()}) == len(want)
     # no array is cut word by word
     assert "lambda" not in rows.select("term")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_posting_lists_are_made_without_a_shuffle_of_postings(spark, monkeypatch):
+    from termweave.operators import block
+
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(40)]
+    terms = sorted({" ".join(rng.choices(words, weights=[1 + 60 * (i < 3) for i in range(40)], k=4)) for _ in range(400)})
+    postings = sorted({(w, x) for x in terms for w in x.split(" ")})
+    df = Counter(w for w, _ in postings)
+    index = spark.createDataFrame([*postings, (None, "w0")], "token string, term string").repartition(3)
+    shuffles = lambda lists: "hashpartitioning" in lists._jdf.queryExecution().executedPlan().toString()
+    assert not shuffles(block.inverted_index(index, 7))
+    monkeypatch.setattr(block, "RUN_BYTES", 5000)
+    # all tokens, some, or none are few enough to be sent to the postings
+    for sent in (40, 3, 0):
+        monkeypatch.setattr(block, "SENT_TOKENS", sent)
+        found = block.inverted_index(index, 7)
+        lists = found.collect()
+        assert sorted((r.token, x, r.df) for r in lists for x in r.terms) == [(w, x, df[w]) for w, x in postings]
+        assert max(len(r.terms) for r in lists) == 7 and len({(r.token, r.block) for r in lists}) == len(lists)
+        assert all(r.terms == sorted(r.terms) for r in lists)
+        assert shuffles(found) == (sent < 40)

@@ -231,15 +231,34 @@ def test_posting_lists_are_made_without_a_shuffle_of_postings(spark, monkeypatch
     postings = sorted({(w, x) for x in terms for w in x.split(" ")})
     df = Counter(w for w, _ in postings)
     index = spark.createDataFrame([*postings, (None, "w0")], "token string, term string").repartition(3)
+    rows = [(x, [w.upper() for w in x.split(" ")] + ["the", "9a", None]) for x in terms] + [("none", []), ("null", None)]
+    own = block.own_tokens(spark.createDataFrame(rows, "term string, tokens array<string>").repartition(3))
     shuffles = lambda lists: "hashpartitioning" in lists._jdf.queryExecution().executedPlan().toString()
     assert not shuffles(block.inverted_index(index, 7))
     monkeypatch.setattr(block, "RUN_BYTES", 5000)
     # all tokens, some, or none are few enough to be sent to the postings
-    for sent in (40, 3, 0):
+    for sent, given in product((40, 3, 0), (index, own)):
         monkeypatch.setattr(block, "SENT_TOKENS", sent)
-        found = block.inverted_index(index, 7)
+        found = block.inverted_index(given, 7)
         lists = found.collect()
         assert sorted((r.token, x, r.df) for r in lists for x in r.terms) == [(w, x, df[w]) for w, x in postings]
         assert max(len(r.terms) for r in lists) == 7 and len({(r.token, r.block) for r in lists}) == len(lists)
         assert all(r.terms == sorted(r.terms) for r in lists)
         assert shuffles(found) == (sent < 40)
+
+
+def test_a_tidy_write_leaves_the_setting(spark):
+    from termweave import session
+
+    before = spark.conf.get(session.TIDY_SETTING)
+    rows = session.written(spark.range(50).select((F.col("id") % 7).alias("x")).distinct(), tidy=True)
+    assert sorted(r.x for r in rows.collect()) == [*range(7)] and spark.conf.get(session.TIDY_SETTING) == before
+
+
+def test_letters_are_told_with_and_without_a_search(spark):
+    from termweave.functions import names
+
+    texts = ["", "a", "z", "{", "`", "A", "Z9", "é", "9a", "_a", "\na", " a", "ß", "\u0130", "\N{MUSICAL SYMBOL G CLEF}", "\N{GOTHIC LETTER AHSA}", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = rows.select("x", names.starts_with_letter(F.col("x")).alias("a"), F.col("x").rlike(r"^\p{L}").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False, None}
